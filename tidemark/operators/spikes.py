@@ -125,7 +125,8 @@ def _emissions(z: np.ndarray, tail: float, ends: np.ndarray | None, repeats: np.
     # a frozen stretch repeats whatever level it is at, a spike of two bars may too
     stuck = np.where(repeats, REPEAT_IN_STUCK, 1 - REPEAT_IN_STUCK) * 0.5
     e = np.stack([normal * rep_n, spike * rep_n, stuck, np.full_like(normal, 1e-12)], axis=-1)
-    e[out] = [1e-12, 1e-12, 1e-12, 1.0]
+    # a frozen close soon lies outside the bar's own range; such bars may belong to the stretch as well
+    e[out] = np.stack([np.full_like(normal, 1e-12), np.full_like(normal, 1e-12), np.where(repeats, 0.5, 1e-12), np.full_like(normal, 0.1)], axis=-1)[out]
     e[~seen & ~out] = 1.0
     return e
 
