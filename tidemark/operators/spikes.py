@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import DAY_US, floor_div
 
+NO_KEY = "\x00none"
 FIELDS = ("open", "high", "low", "close", "volume")
 NORMAL, SPIKE, STUCK, OUT = range(4)
 #: Chances to pass from one state to the next, by the bar.
@@ -149,9 +150,9 @@ def judge(rows: pd.DataFrame) -> pd.DataFrame:
         out[gi[lead], place[lead]] = v[lead]
         return out
 
-    of = {c: rows[c].to_numpy(dtype=float) for c in FIELDS}
+    of = {c: rows[c].to_numpy(dtype=float) for c in FIELDS[1:]}
     out_p, out_v = rows["out_price"].to_numpy(dtype=bool), rows["out_volume"].to_numpy(dtype=bool)
-    per = rows.iloc[np.flatnonzero(new_g)]
+    per = rows[["n", "sx", "sy", "rp", "rv"]].astype(float).groupby(gi).max()
     k = np.nan_to_num(per["n"].to_numpy(dtype=float))
     sx = np.exp((k * np.log(np.maximum(np.nan_to_num(per["sx"].to_numpy(dtype=float)), 1e-5)) + PRIOR_WEIGHT * np.log(PRIOR_SCALE)) / (k + PRIOR_WEIGHT))
     sy = np.exp((k * np.log(np.maximum(np.nan_to_num(per["sy"].to_numpy(dtype=float)), 0.3)) + PRIOR_WEIGHT * np.log(0.8)) / (k + PRIOR_WEIGHT))
@@ -229,26 +230,29 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def implausible_bars(df: DataFrame, keys: tuple[str, str] = ("feed", "ticker"), bar: str = "bar_id", ts: str = "timestamp", arrival: str = "ingested_at", *, require: tuple[str, ...] = ("ticker",), chunk: int = 512, halo: int = 64) -> DataFrame:
     """Every bar: `bar`, `out_of_range`, and the probabilities `price_spike`, `price_stuck`, `volume_spike`, `volume_stuck`, with `flagged`."""
     base = df.select(
-        F.col(bar).alias("bar"), F.col(keys[0]).alias("k0"), F.col(keys[1]).alias("k1"), F.unix_micros(ts).alias("t"), F.unix_micros(arrival).alias("ing"),
+        F.col(bar).alias("bar"), *[F.coalesce(F.col(k).cast("string"), F.lit(NO_KEY)).alias(f"k{i}") for i, k in enumerate(keys)], F.unix_micros(ts).alias("t"), F.unix_micros(arrival).alias("ing"),
         *[F.col(c).cast("double").alias(c) for c in FIELDS],
-    ).withColumn("out_price", F.expr(OUT_PRICE)).withColumn("out_volume", F.expr(OUT_VOLUME))
+    ).withColumn("out_price", F.expr(OUT_PRICE)).withColumn("out_volume", F.expr(OUT_VOLUME)).drop("open")
     placed = F.col("t").isNotNull()
     for i, k in enumerate(keys):
         if k in require:
-            placed &= F.col(f"k{i}").isNotNull()
+            placed &= F.col(f"k{i}") != NO_KEY
     seq = base.where(placed).withColumn("day", floor_div(F.col("t"), DAY_US).cast("int"))
     w = Window.partitionBy("k0", "k1", "day").orderBy("t")
-    ordered = seq.withColumn("step", F.dense_rank().over(w)).withColumn("copy", F.row_number().over(w.orderBy("t", "ing", "bar")) - F.rank().over(w))
-    scales = _scales(ordered.where(F.col("copy") == 0))
-    days = seq.groupBy("k0", "k1", "day").agg(F.count_distinct("t").alias("n"))
+    first = F.row_number().over(w.orderBy("t", "ing", "bar")) == F.rank().over(w)
+    scales = _scales(seq.select("k0", "k1", "day", "t", "ing", "bar", "close", "volume", "out_price").withColumn("first", first).where("first"))
+    days = seq.select("k0", "k1", "day", "t").withColumn("step", F.dense_rank().over(w)).groupBy("k0", "k1", "day").agg(F.max("step").alias("steps"))
     upto = Window.partitionBy("k0", "k1").orderBy("day")
-    starts = days.select("k0", "k1", "day", (F.sum("n").over(upto) - F.col("n")).alias("start"))
-    about = starts.join(scales.select(F.col("k0").alias("s0"), F.col("k1").alias("s1"), "n", "sx", "sy", "rp", "rv"), F.col("k0").eqNullSafe(F.col("s0")) & F.col("k1").eqNullSafe(F.col("s1"))).select(F.col("k0").alias("d0"), F.col("k1").alias("d1"), F.col("day").alias("dd"), "start", "n", "sx", "sy", "rp", "rv")
-    ranked = ordered.join(about, F.col("k0").eqNullSafe(F.col("d0")) & F.col("k1").eqNullSafe(F.col("d1")) & (F.col("day") == F.col("dd"))).withColumn("rank", F.col("start") + F.col("step") - 1)
+    starts = days.select("k0", "k1", "day", (F.sum("steps").over(upto) - F.col("steps")).alias("start"))
+    about = starts.join(scales, ["k0", "k1"])
+    ranked = seq.withColumn("step", F.dense_rank().over(w)).join(about, ["k0", "k1", "day"]).withColumn("rank", F.col("start") + F.col("step") - 1)
     own = floor_div(F.col("rank"), chunk)
+    # the source's scales go with one rank in each `halo`, of which every chunk has one
+    told = F.pmod(F.col("rank"), F.lit(halo)) == 0
+    scale = ["n", "sx", "sy", "rp", "rv"]
     chunks = F.explode(F.sequence(F.greatest(floor_div(F.col("rank") - halo, chunk), F.lit(0)), floor_div(F.col("rank") + halo, chunk)))
-    sent = ranked.select("k0", "k1", chunks.alias("c"), own.alias("oc"), "t", "ing", "bar", *FIELDS, "out_price", "out_volume", "n", "sx", "sy", "rp", "rv")
-    sent = sent.select(F.xxhash64("k0", "k1", "c").alias("g"), (F.col("c") == F.col("oc")).alias("own"), "t", "ing", "bar", *FIELDS, "out_price", "out_volume", "n", "sx", "sy", "rp", "rv")
+    sent = ranked.select("k0", "k1", chunks.alias("c"), own.alias("oc"), "t", "ing", "bar", *FIELDS[1:], "out_price", "out_volume", *[F.when(told, F.col(x)).alias(x) for x in scale])
+    sent = sent.select(F.xxhash64("k0", "k1", "c").alias("g"), (F.col("c") == F.col("oc")).alias("own"), "t", "ing", "bar", *FIELDS[1:], "out_price", "out_volume", *scale)
     odds = sent.repartition("g").sortWithinPartitions("g", "t", "ing", "bar").drop("ing").mapInPandas(_run, "bar bigint, price_spike double, price_stuck double, volume_spike double, volume_stuck double")
     probs = ["price_spike", "price_stuck", "volume_spike", "volume_stuck"]
     return odds, base, probs
