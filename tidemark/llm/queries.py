@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing
+from tidemark.llm.stuffing import page_scores
 from tidemark.llm.tokens import token_ids
 from tidemark.sources.tables import table
 
@@ -25,5 +26,13 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(mixing.draw(sized, planned), planned)
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return page_scores(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where("flagged").select("doc_id")
+
+
+QUERIES = {"p8_found": p8_found, "p8_scores": p8_scores, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 ORACLE: dict[str, str] = {}

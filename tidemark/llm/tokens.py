@@ -26,6 +26,8 @@ TOKENIZER_FOLDER = os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers")
 RANKS = "byte_bpe_50k.tiktoken"
 #: Fixed value: the published pattern that splits text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same on ASCII text, where classes are ranges and the standard library's faster engine serves.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
 CACHE_PIECES, CACHE_LENGTH = 400_000, 48
 
 
@@ -154,6 +156,15 @@ def read_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
 
 
+def splitter() -> Callable[[str], list[str]]:
+    import re
+
+    import regex
+
+    plain, full = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
+    return lambda s: plain(s) if s.isascii() else full(s)
+
+
 _worker: dict[int, tuple[BytePairEncoder, Callable]] = {}
 
 
@@ -161,9 +172,7 @@ def _encoder(raw: bytes) -> tuple[BytePairEncoder, Callable]:
     """One encoder for each Python worker process."""
     key = hash(raw)
     if key not in _worker:
-        import regex
-
-        _worker[key] = BytePairEncoder(read_ranks(raw)), regex.compile(PATTERN).findall
+        _worker[key] = BytePairEncoder(read_ranks(raw)), splitter()
     return _worker[key]
 
 
