@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import DAY_US, US, pinned
+from tidemark.session import cut
 
 # Offsets of zone abbreviations in minutes, US and European use.
 ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "BST": 60, "CET": 60, "CEST": 120, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "JST": 540}
@@ -141,7 +142,8 @@ def normalise_instants(df: DataFrame, sources: DataFrame, key: str = "rec_id", s
     """Columns: the key, `ts_us` (epoch microseconds UTC, null unless ok), `status`, `posterior` of the chosen reading."""
     about = sources.groupBy(F.col(source).alias("src")).agg(F.max(zone).alias("zone"), F.max(order).alias("declared"))
     about = about.withColumn("zone", F.when(F.col("zone").isin(sorted(zoneinfo.available_timezones())), F.col("zone")))
-    r = read_texts(df, key, source, text).join(about, F.col("source") == F.col("src"), "left").drop("src")
+    # read once and kept: both the fit and the choice need every parse
+    r = cut(read_texts(df, key, source, text)).join(about, F.col("source") == F.col("src"), "left").drop("src")
     bits = [F.col(f"o_{o}").isNotNull().cast("int") * (1 << i) for i, o in enumerate(ORDERS)]
     r = r.withColumn("mask", bits[0] + bits[1] + bits[2])
     masks = r.where((F.col("mask") > 0) & F.col("tod").isNotNull()).groupBy("source", "declared", "mask").agg(F.count(F.lit(1)).alias("n"))
