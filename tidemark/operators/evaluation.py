@@ -222,3 +222,28 @@ def adherence_bootstrap(bt: DataFrame, target: float, block_days: list[int], *,
         return pd.DataFrame({"block_days": length, "strategy": list(m.columns), "point": gap.mean(axis=0), "ci90_lo": np.quantile(boot, 0.05, axis=0), "ci90_hi": np.quantile(boot, 0.95, axis=0), "p_best": [(best == i).mean() for i in range(gap.shape[1])]})
 
     return b.groupBy("length").applyInPandas(run, "block_days int, strategy string, point double, ci90_lo double, ci90_hi double, p_best double")
+
+
+def adherence_pairwise(bt: DataFrame, target: float, *, length_days: int = 105, reps: int = 2000, seed: int = 0, unit: int = 21) -> DataFrame:
+    """For all pairs of strategies the share of shared replicates in which i comes closer to the target than j."""
+    from tidemark.operators.backtest import blocks
+
+    b = blocks(bt, unit).withColumn("all", F.lit(1))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        m = g.pivot(index="block", columns="strategy", values="bvol").sort_index().dropna()
+        gap = np.abs(m.to_numpy() - target)
+        boot = stationary_counts(len(gap), reps, max(1, length_days // unit), np.random.default_rng([seed, length_days])) @ gap / len(gap)
+        names = list(m.columns)
+        return pd.DataFrame([(a, c, float((boot[:, i] < boot[:, j]).mean())) for i, a in enumerate(names) for j, c in enumerate(names) if i != j], columns=["i", "j", "p_closer"])
+
+    return b.groupBy("all").applyInPandas(run, "i string, j string, p_closer double")
+
+
+def fbm_constant_numerical(h: float, points: int = 400) -> float:
+    """The conditional-variance constant from the linear prediction of fractional Gaussian noise on `points` past values: variance of the
+    next increment given them, over its unconditional one."""
+    k = np.arange(points + 1, dtype=float)
+    cov = 0.5 * (np.abs(k + 1) ** (2 * h) - 2 * k ** (2 * h) + np.abs(k - 1) ** (2 * h))
+    gram = cov[np.abs(np.arange(points)[:, None] - np.arange(points)[None, :])]
+    return float(1 - cov[1:] @ np.linalg.solve(gram, cov[1:]))

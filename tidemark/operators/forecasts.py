@@ -149,3 +149,14 @@ def running_mean_term_structure(points: DataFrame, keys: list[str]) -> DataFrame
     w = Window.partitionBy(*keys).orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
     return points.withColumn("v", F.avg("pt").over(w))
 
+
+
+def har_daily(m: DataFrame, dates: DataFrame, h: int = 21, least: int = 250) -> DataFrame:
+    """Daily forecasts with coefficients frozen at the last refit date before or on the day, and features of the day."""
+    f = har_forecast(m, h, least).join(dates.select("date"), "date", "left_semi").select("symbol", F.col("date").alias("refit"), "b0", "b1", "b2", "b3", "sigma2_resid")
+    x = har_pairs(m, h).select("symbol", "date", "x1", "x2", "x3").where(F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("x3").isNotNull())
+    both = x.withColumn("at", F.col("date")).withColumn("side", F.lit(1)).unionByName(f.withColumn("at", F.col("refit")).withColumn("side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("c", F.last(F.when(F.col("side") == 0, F.struct("refit", "b0", "b1", "b2", "b3", "sigma2_resid")), ignorenulls=True).over(w)).where((F.col("side") == 1) & F.col("c").isNotNull())
+    v = F.exp(F.col("c.b0") + F.col("c.b1") * F.col("x1") + F.col("c.b2") * F.col("x2") + F.col("c.b3") * F.col("x3") + F.col("c.sigma2_resid") / 2)
+    return both.select("symbol", "date", F.col("c.refit").alias("refit"), v.alias("v"))

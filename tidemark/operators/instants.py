@@ -54,10 +54,8 @@ def _int(c: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    """Days since 1970, null where the date doesn't exist."""
-    ok = y.between(1, 9999) & m.between(1, 12) & d.between(1, 31)
-    last = F.day(F.last_day(F.make_date(F.when(ok, y), F.when(ok, m), F.lit(1))))
-    return F.when(ok & (d <= last), F.unix_date(F.make_date(F.when(ok, y), F.when(ok, m), F.lit(1))) + d - 1)
+    """Days since 1970 of a date in digits, null where it doesn't exist."""
+    return F.unix_date(F.when(y != "0000", F.concat(y, F.lit("-"), m, F.lit("-"), d)).try_cast("date"))
 
 
 def _iso_week(y: Column, w: Column, d: Column) -> Column:
@@ -82,14 +80,15 @@ def read_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     h, m, sec = _int(p[4]), _int(p[5]), F.coalesce(_int(p[6]), F.lit(0))
     hour = F.when(ap == "", F.when(h <= 23, h)).otherwise(F.when(h.between(1, 12), F.pmod(h, F.lit(12)) + F.when(ap == "PM", 12).otherwise(0)))
     tod = F.when((m <= 59) & (sec <= 59), (hour * 3600 + m * 60 + sec).cast("long") * US + F.rpad(F.substring(p[7], 1, 6), 6, "0").cast("long"))
-    a, b, c = (_int(F.when(kind != "mon", x)) for x in p[1:4])
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(p[2])).cast("int")
+    a, b, c = p[1:4]
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.upper(b)).cast("string")
     fixed = (
-        F.when(kind == "ymd", _date(a, b, c)).when(kind == "week", _iso_week(a, b, c))
-        .when(kind == "nth", F.when(b.between(1, F.dayofyear(F.make_date(F.when(a.between(1, 9999), a), F.lit(12), F.lit(31)))), F.unix_date(F.make_date(F.when(a.between(1, 9999), a), F.lit(1), F.lit(1))) + b - 1))
-        .when(kind == "mon", _date(F.when(kind == "mon", p[3].cast("int")), month, F.when(kind == "mon", p[1].cast("int"))))
+        F.when(kind == "ymd", _date(a, b, c)).when(kind == "week", _iso_week(_int(F.when(kind == "week", a)), _int(F.when(kind == "week", b)), _int(F.when(kind == "week", c))))
+        # the day of the year by counting from its first day, if that stays in the year
+        .when(kind == "nth", F.when((b > "000") & (b <= F.when(_date(a, F.lit("2"), F.lit("29")).isNotNull(), "366").otherwise("365")), _date(a, F.lit("1"), F.lit("1")) + b.try_cast("int") - 1))
+        .when(kind == "mon", _date(c, month, a))
     )
-    full = F.when(kind == "two", c + 2000).when(kind == "num", c)
+    full = F.when(kind == "two", F.concat(F.lit("20"), c)).when(kind == "num", c)
     off = F.regexp_extract(zone, r"^(?:UTC|GMT)?([+-])(\d{2}):?(\d{2})?$", 1)
     oh, om = F.regexp_extract(zone, r"([+-])(\d{2}):?(\d{2})?$", 2), F.regexp_extract(zone, r"([+-])(\d{2}):?(\d{2})?$", 3)
     minutes = _int(oh) * 60 + F.coalesce(_int(om), F.lit(0))
@@ -104,7 +103,7 @@ def read_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         by_unit = F.when(inside, us).otherwise(by_unit)
     return base.select(
         "key", "source", F.col("s").isNull().alias("is_null"), by_unit.alias("num_us"), tod.alias("tod"), fixed.alias("fixed"),
-        F.when(kind.isin("num", "two"), _date(full, b, a)).alias("o_dmy"), F.when(kind.isin("num", "two"), _date(full, a, b)).alias("o_mdy"), F.when(kind == "two", _date(a + 2000, b, c)).alias("o_ymd"),
+        F.when(kind.isin("num", "two"), _date(full, b, a)).alias("o_dmy"), F.when(kind.isin("num", "two"), _date(full, a, b)).alias("o_mdy"), F.when((kind == "two") & (F.length(a) == 2), _date(F.concat(F.lit("20"), a), b, c)).alias("o_ymd"),
         (zone != "").alias("zoned"), zone_min.alias("zone_min"),
     )
 

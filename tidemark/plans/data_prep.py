@@ -27,7 +27,8 @@ def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_counter(spark: SparkSession, folder: str) -> DataFrame:
     g = counter_grid(table(spark, folder, "qqq_1m"), ["feed", "ticker"], require=["ticker"], ties=["ingested_at", "bar_id"])
-    return g.select("feed", "ticker", "slot", F.round("increase", 4).alias("increase"), "resets", F.round("covered_s", 3).alias("covered_s"), F.round("uncovered_s", 3).alias("uncovered_s"))
+    # shares of four-digit increments often end in a tie at any digit; the offset moves them off it in both engines
+    return g.select("feed", "ticker", "slot", F.round(F.col("increase") + 3.14e-8, 6).alias("increase"), "resets", F.round("covered_s", 3).alias("covered_s"), F.round("uncovered_s", 3).alias("uncovered_s"))
 
 
 def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,7 +104,18 @@ _P4 = """WITH ok AS (SELECT * FROM param_paths WHERE date IS NOT NULL AND known_
 found AS (SELECT f.origin_id, arg_max(p.param_id, row(p.date, p.known_at, -p.param_id)) AS param_id
   FROM forecast_v21 f JOIN ok p ON f.source = p.source AND f.model = p.model AND f.dist = p.dist AND p.date <= f.date AND p.known_at <= f.asked_at GROUP BY f.origin_id)"""
 
+_P1_COUNTER = f"""WITH {_P1_BARS},
+one AS (SELECT feed, ticker, sess, t, arg_max(close, row(ingested_at, bar_id, close)) AS v FROM rth WHERE NOT isnan(close) GROUP BY ALL),
+spans AS (SELECT *, lag(t) OVER w AS t0, lag(v) OVER w AS v0 FROM one WINDOW w AS (PARTITION BY feed, ticker, sess ORDER BY t)),
+parts AS (SELECT *, unnest(range(t0 // 300000000, (t - 1) // 300000000 + 1)) AS c, CASE WHEN v < v0 THEN v ELSE v - v0 END AS inc FROM spans WHERE t0 IS NOT NULL),
+cut AS (SELECT *, least((c + 1) * 300000000, t) - greatest(c * 300000000, t0) AS over FROM parts)
+SELECT feed, ticker, c * 300 AS slot, round(sum(CASE WHEN t - t0 <= 900000000 THEN inc * (over / (t - t0)) ELSE 0 END) + 3.14e-8, 6) AS increase,
+  CAST(sum(CASE WHEN v < v0 AND c = (t - 1) // 300000000 THEN 1 ELSE 0 END) AS BIGINT) AS resets,
+  round(sum(CASE WHEN t - t0 <= 900000000 THEN over ELSE 0 END) / 1e6, 3) AS covered_s, round(sum(CASE WHEN t - t0 > 900000000 THEN over ELSE 0 END) / 1e6, 3) AS uncovered_s
+FROM cut GROUP BY feed, ticker, sess, c"""
+
 ORACLE = {
+    "p1_counter": _P1_COUNTER,
     "p1_found": _P1_GRID + " SELECT feed, ticker, slot FROM j WHERE n IS NULL",
     "p1_grid": _P1_GRID + """ SELECT feed, ticker, CAST(sess AS VARCHAR) AS session, slot, coalesce(n, 0) AS n_readings, last,
         CASE WHEN slot - seen <= 600 THEN carried END AS filled, CASE WHEN n IS NOT NULL THEN 'observed' WHEN slot - seen <= 600 THEN 'filled' ELSE 'uncovered' END AS status FROM j""",

@@ -15,7 +15,7 @@ from tidemark.operators import measures as M
 from tidemark.operators.evaluation_targets import forward_mean, forward_value
 from tidemark.plans.shape import shaped, shaped_sql
 from tidemark.session import cut
-from tidemark.sources import market
+from tidemark.sources import files, market
 from tidemark.sources.tables import table
 
 RULES = B.Rules()
@@ -397,3 +397,42 @@ add("deflated_sharpe_inputs", "strategy sr:8 g3:5 g4:4 n:i", "dsr", lambda s, d:
 add("deflated_sharpe", "strategy sr:8 sr0:8 z:5 dsr:6", None, lambda s, d: E.deflated_sharpe(_bt(s, d), 19))
 add("confidence_sets", "loss block:i model mcs_p:4 retained", None, lambda s, d: E.model_confidence_sets(_losses(s, d), [2, 5, 10]))
 add("adherence_bootstrap", "block_days:i strategy point:6 ci90_lo:6 ci90_hi:6 p_best:4", None, lambda s, d: E.adherence_bootstrap(_bt(s, d), RULES.target, [42, 105, 210]))
+
+# ---------------------------------------------------------------- combinations of the above
+C |= {
+    "ranksx": "SELECT l.model, l.qlike_mean AS qlike, a.mad_nonoverlap AS adherence_mad, m.sharpe_excess AS sharpe FROM losst l JOIN adherence a ON a.strategy = l.model JOIN metrics m ON m.strategy = l.model",
+    "btw": "SELECT *, max(equity) OVER u AS wpeak, ret - cash_ret AS wex FROM bt WHERE date >= DATE '1999-01-01' WINDOW u AS (PARTITION BY strategy ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+}
+def _cross(s: SparkSession, d: str) -> DataFrame:
+    l = E.loss_table(_losses(s, d)).select("model", F.col("qlike_mean").alias("qlike"))
+    a = B.adherence(_bt(s, d), RULES).select(F.col("strategy").alias("model"), F.col("mad_nonoverlap").alias("adherence_mad"))
+    m = B.metrics(_bt(s, d), RULES).select(F.col("strategy").alias("model"), F.col("sharpe_excess").alias("sharpe"))
+    j = l.join(a, "model").join(m, "model").withColumn("all", F.lit(1)).withColumn("neg", -F.col("sharpe"))
+    return j.withColumn("qlike_rank", stats.average_rank("qlike", ["all"])).withColumn("adherence_rank", stats.average_rank("adherence_mad", ["all"])).withColumn("sharpe_rank", stats.average_rank("neg", ["all"]))
+add("cross_layer_ranks", "model qlike:7 adherence_mad:7 sharpe:6 qlike_rank:2 adherence_rank:2 sharpe_rank:2", "(SELECT *, CAST(rank() OVER (ORDER BY qlike) AS DOUBLE) AS qlike_rank, CAST(rank() OVER (ORDER BY adherence_mad) AS DOUBLE) AS adherence_rank, CAST(rank() OVER (ORDER BY sharpe DESC) AS DOUBLE) AS sharpe_rank FROM ranksx)", _cross)
+def _z_grid(s: SparkSession, d: str) -> DataFrame:
+    z = E.ledoit_wolf(_bt(s, d)).select("i", "j", "z")
+    names = _bt(s, d).select("strategy").distinct()
+    return z.unionByName(z.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("z")).alias("z"))).unionByName(names.select(F.col("strategy").alias("i"), F.col("strategy").alias("j"), F.lit(0.0).alias("z")))
+add("sharpe_matrix", "i j z:5", "(SELECT i, j, z FROM lw UNION ALL SELECT j, i, -z FROM lw UNION ALL SELECT DISTINCT strategy, strategy, 0 FROM roll)", _z_grid)
+add("undershoot", "n:i corr_dev_vov:6 mean_dev:7 bias_term:8", f"(SELECT count(*) AS n, corr(signed_dev, vov) AS corr_dev_vov, avg(signed_dev) AS mean_dev, {RULES.target} * (1 - 1 / (4 * 20e0)) - {RULES.target} AS bias_term FROM signedq)",
+    lambda s, d: B.signed_adherence(_bt(s, d), RULES).agg(F.count(F.lit(1)).alias("n"), F.corr("signed_dev", "vov").alias("corr_dev_vov"), F.avg("signed_dev").alias("mean_dev"), F.lit(RULES.target * (1 - 1 / 80) - RULES.target).alias("bias_term")))
+add("windowed_metrics", "strategy final_equity:2 realized_vol:7 sharpe_excess:6 max_drawdown:7 skew:5", "(SELECT strategy, arg_max(equity, date) AS final_equity, stddev_samp(ret) * sqrt(252) AS realized_vol, avg(wex) / stddev_samp(wex) * sqrt(252) AS sharpe_excess, min(equity / wpeak - 1) AS max_drawdown, skewness(ret) AS skew FROM btw GROUP BY strategy)",
+    lambda s, d: B.metrics(_bt(s, d), RULES, since="1999-01-01"))
+add("summary_table", "strategy final cagr vol", "(SELECT strategy, CASE WHEN final_equity >= 1e6 THEN printf('$%.2fM', final_equity / 1e6) ELSE printf('$%.0fk', final_equity / 1e3) END AS final, printf('%.1f%%', 100 * cagr) AS cagr, printf('%.1f%%', 100 * realized_vol) AS vol FROM metrics)",
+    lambda s, d: B.metrics(_bt(s, d), RULES).select("strategy", F.when(F.col("final_equity") >= 1e6, F.format_string("$%.2fM", F.col("final_equity") / 1e6)).otherwise(F.format_string("$%.0fk", F.col("final_equity") / 1e3)).alias("final"), F.format_string("%.1f%%", 100 * F.col("cagr")).alias("cagr"), F.format_string("%.1f%%", 100 * F.col("realized_vol")).alias("vol")))
+add("governing_groups", "governing:d origins:i", "(SELECT p.date AS governing, count(*) AS origins FROM forecast_v21 f ASOF JOIN (SELECT source, model, dist, date, arg_max(sigma2_next, param_id) AS sigma2_next FROM param_paths WHERE date IS NOT NULL AND source IS NOT NULL AND sigma2_next IS NOT NULL GROUP BY ALL) p ON f.source = p.source AND f.model = p.model AND f.dist = p.dist AND f.date >= p.date GROUP BY 1)",
+    lambda s, d: _governing(s, d).groupBy("governing").agg(F.count(F.lit(1)).alias("origins")))
+add("vol_ratio", "model ratio:8", "(SELECT model, avg(sqrt(v)) / avg(sqrt(rv)) AS ratio FROM frame GROUP BY model)", lambda s, d: _frame(s, d).groupBy("model").agg((F.avg(F.sqrt("v")) / F.avg(F.sqrt("rv"))).alias("ratio")))
+add("open_close_correlation", "symbol r:8", "(SELECT symbol, corr(on_ret, oc_ret) AS r FROM meas0 GROUP BY symbol)", lambda s, d: _meas(s, d).groupBy("symbol").agg(F.corr("on_ret", "oc_ret").alias("r")))
+add("har_daily", "date:d refit:d v:10", None, lambda s, d: forecasts.har_daily(_traded(_meas(s, d)), _reb(s, d)))
+def _grid_spread(s: SparkSession, d: str) -> DataFrame:
+    v = _rough(s, d).where(F.col("h").isin(0.02, 0.05, 0.10, 0.15))
+    v = v.withColumn("sigma", F.sqrt(252 * F.col("v"))).withColumn("w_raw", RULES.target / F.col("sigma")).withColumn("w", B.sizing_weight(F.col("v"), RULES))
+    long = v.unpivot(["date", "h"], ["v", "sigma", "w_raw", "w"], "stage", "x")
+    per = long.groupBy("stage", "date").agg(((F.max("x") - F.min("x")) / F.avg("x")).alias("spread"))
+    return per.groupBy("stage").agg(F.avg("spread").alias("mean_spread"), F.percentile("spread", 0.95).alias("p95_spread"))
+add("hurst_grid_spread", "stage mean_spread:6 p95_spread:6", None, _grid_spread)
+add("adherence_pairwise", "i j p_closer:4", None, lambda s, d: E.adherence_pairwise(_bt(s, d), RULES.target))
+add("interval_widths", "strategy d42:6 d105:6 d210:6", None, lambda s, d: E.adherence_bootstrap(_bt(s, d), RULES.target, [42, 105, 210]).groupBy("strategy").pivot("block_days", [42, 105, 210]).agg(F.max(F.col("ci90_hi") - F.col("ci90_lo"))).select("strategy", F.col("42").alias("d42"), F.col("105").alias("d105"), F.col("210").alias("d210")))
+add("parquet_footers", "file row_group:i rows:i lo hi", None, lambda s, d: files.footers(s, f"{d}/qqq_1m.parquet", "ticker"))
