@@ -161,7 +161,7 @@ def curves(pages: DataFrame) -> DataFrame:
     return g.select("row", slope.alias("slope"), F.sqrt(F.greatest(vy - slope * c, F.lit(0.0)) / F.col("n")).alias("residual"))
 
 
-def page_scores(df: DataFrame, key: str = "doc_id", text: str = "text", *, least_words: int = 30, least_links: int = 6, least_tags: int = 15, least_pages: int = 30) -> DataFrame:
+def page_scores(df: DataFrame, key: str = "doc_id", text: str = "text", *, least_words: int = 25, least_links: int = 6, least_tags: int = 15, least_pages: int = 30) -> DataFrame:
     """One row per document: the key, its shares, its curve, how far that lies from prose, and `keywords`, `link_list`, `tag_list`, `flagged`."""
     pages = cut(facts(df, key, text).withColumn("row", F.monotonically_increasing_id()))
     p = pages.join(curves(pages), "row", "left").drop("freq", "types_of")
