@@ -183,7 +183,8 @@ def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS
     hist = r.select("symbol", "date", F.collect_list("log_ret").over(w).alias("h")).join(dates, "date").where(F.size("h") >= least)
     grid = [F.struct(F.lit(m).alias("model"), F.lit(d).alias("dist")) for m in models for d in dists]
     tasks = hist.withColumn("t", F.explode(F.array(*grid))).select("symbol", "date", "seq", "t.model", "t.dist", "h")
-    tasks = tasks.repartition(F.col("date"), F.col("model"), F.col("dist"))
+    # a count of its own, as fits are long and their rows small: left to itself, the planner would put them into one task
+    tasks = tasks.repartition(4 * rets.sparkSession.sparkContext.defaultParallelism, "symbol", "date", "model", "dist")
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
