@@ -225,3 +225,26 @@ def test_llm_is_optional():
     for p in ROOT.rglob("*.py"):
         if "llm" not in p.parts:
             assert "tidemark.llm" not in p.read_text(), p
+
+
+def test_numerical_fbm_constant():
+    from tidemark.operators.evaluation import fbm_constant_numerical
+
+    assert fbm_constant_numerical(0.5) == pytest.approx(1.0)
+    assert fbm_constant_numerical(0.15) == pytest.approx(fbm_constant(0.15), abs=0.03)
+
+
+def test_egarch_daily_is_causal(spark):
+    """Days before a cut have the same forecasts with and without the rows after it."""
+    def run(rows):
+        b = spark.createDataFrame(rows, SCHEMA)
+        r = M.returns(b)
+        reb = M.rebalance_dates(b).where("seq IN (14, 15)")
+        f = fits.refit(r, reb, models=("egarch",), dists=("normal",), most=600)
+        return {x["date"]: (x["refit"], x["v"]) for x in fits.egarch_daily(f, r, paths=300).collect()}
+
+    rows = bars(400)
+    full, part = run(rows), run(rows[:380])
+    assert part and all(v[1] > 0 for v in full.values())
+    common = set(part) & set(full)
+    assert common == set(part) and all(part[d][0] == full[d][0] and part[d][1] == pytest.approx(full[d][1], rel=1e-9) for d in common)

@@ -240,10 +240,11 @@ def adherence_pairwise(bt: DataFrame, target: float, *, length_days: int = 105,
     return b.groupBy("all").applyInPandas(run, "i string, j string, p_closer double")
 
 
-def fbm_constant_numerical(h: float, points: int = 400) -> float:
-    """The conditional-variance constant from the linear prediction of fractional Gaussian noise on `points` past values: variance of the
-    next increment given them, over its unconditional one."""
-    k = np.arange(points + 1, dtype=float)
-    cov = 0.5 * (np.abs(k + 1) ** (2 * h) - 2 * k ** (2 * h) + np.abs(k - 1) ** (2 * h))
-    gram = cov[np.abs(np.arange(points)[:, None] - np.arange(points)[None, :])]
-    return float(1 - cov[1:] @ np.linalg.solve(gram, cov[1:]))
+def fbm_constant_numerical(h: float, points: int = 800, ahead: int = 40) -> float:
+    """The conditional-variance constant by linear prediction: variance of fractional Brownian motion `ahead` steps on, given `points` past
+    increments, over its unconditional one. It nears the constant as both grow."""
+    k = np.arange(points, dtype=float)
+    noise = 0.5 * (np.abs(k + 1) ** (2 * h) - 2 * k ** (2 * h) + np.abs(k - 1) ** (2 * h))
+    gram = noise[np.abs(np.arange(points)[:, None] - np.arange(points)[None, :])]
+    cross = 0.5 * (k ** (2 * h) - (ahead + k) ** (2 * h) - (k + 1) ** (2 * h) + (ahead + k + 1) ** (2 * h))
+    return float(1 - cross @ np.linalg.solve(gram, cross) / ahead ** (2 * h))

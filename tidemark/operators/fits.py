@@ -73,14 +73,14 @@ def linear_filter(beta: float, drive: np.ndarray, first: float, width: int = 64)
     return out
 
 
-def variance_path(model: str, p: dict[str, float], r: np.ndarray) -> np.ndarray:
-    """Conditional variances s2[0..n] of centred returns; the last is the next day's."""
+def variance_path(model: str, p: dict[str, float], r: np.ndarray, known: int | None = None) -> np.ndarray:
+    """Conditional variances s2[0..n] of centred returns; the last is the next day's. The first is the mean square of the first `known` (or all)."""
+    long_run = float((r[:known] * r[:known]).mean())
     if model in ("garch", "gjr"):
-        long_run = float((r * r).mean())
         g = p.get("gamma", 0.0) if model == "gjr" else 0.0
         omega = long_run * (1 - p["alpha"] - p["beta"] - g / 2)
         return np.maximum(linear_filter(p["beta"], omega + (p["alpha"] + g * (r < 0)) * r * r, long_run), 1e-12)
-    log_s = math.log(float((r * r).mean()))
+    log_s = math.log(long_run)
     out = [log_s]
     w, a, g, b = p["omega"], p["alpha"], p["gamma"], p["beta"]
     for x in r.tolist():
@@ -213,3 +213,30 @@ def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.replace("map<string,double>", "map").split(", ")])
 
     return todo.select("symbol", "date", "seq", "model", "dist", "converged", "carried", "loglik", "params", "h").mapInPandas(second, FIELDS)
+
+
+def egarch_daily(refits: DataFrame, rets: DataFrame, *, h: int = 21, paths: int = 2000, seed: int = 0) -> DataFrame:
+    """EGARCH forecasts for every day with the parameters of the last refit before or on it: one task for each refit filters the returns once,
+    centred by the mean known at the refit, and simulates from each day's state. (symbol, date, refit, v)"""
+    w = Window.partitionBy("symbol").orderBy("date")
+    p = refits.where((F.col("model") == "egarch") & (F.col("dist") == "normal") & F.col("params").isNotNull()).select("symbol", F.col("date").alias("refit"), "seq", "params")
+    p = p.withColumn("upto", F.lead("refit").over(Window.partitionBy("symbol").orderBy("refit")))
+    r = rets.where(F.col("log_ret").isNotNull()).select("symbol", "date", "log_ret")
+    last = r.join(p, "symbol").where((F.col("date") >= F.col("refit")) & (F.col("upto").isNull() | (F.col("date") < F.col("upto")))).groupBy("symbol", "refit").agg(F.max("date").alias("date"), F.collect_set("date").alias("days"))
+    hist = r.select("symbol", "date", F.collect_list(F.struct("date", "log_ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("h"))
+    tasks = last.join(hist, ["symbol", "date"]).join(p, ["symbol", "refit"]).select("symbol", "refit", "seq", "params", F.array_sort("days").alias("days"), F.transform("h", lambda x: x["date"]).alias("at"), F.transform("h", lambda x: x["log_ret"]).alias("x"))
+    tasks = tasks.repartition(4 * rets.sparkSession.sparkContext.defaultParallelism, "symbol", "refit")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for t in b.itertuples():
+                x, at, params = np.asarray(t.x, dtype=float), list(t.at), dict(t.params)
+                known = x[: sum(d <= t.refit for d in at)]
+                path = variance_path("egarch", params, (x - known.mean()) * 100, len(known))
+                place = {d: i for i, d in enumerate(at)}
+                rng = np.random.default_rng([seed, int(t.seq)])
+                rows += [(t.symbol, d, t.refit, float(egarch_path(params, path[place[d] + 1] / 1e4, h, paths, rng).mean())) for d in t.days]
+            yield pd.DataFrame(rows, columns=["symbol", "date", "refit", "v"])
+
+    return tasks.mapInPandas(run, "symbol string, date date, refit date, v double")

@@ -105,32 +105,34 @@ def nu2_given_h(vg: DataFrame, h: float, max_lag: int = 40) -> DataFrame:
     return g.where(F.col("lags") == max_lag).select("symbol", "date", "nu2")
 
 
-def rough_points(past: np.ndarray, mean: float, var: float, h: float, nu2: float, horizon: int) -> tuple[np.ndarray, int]:
-    """Forecasts for 1..horizon days from the centred log variances, latest first, and how often the variance's cap binds."""
+def rough_points(past: np.ndarray, mean: float, var: float, h: float, nu2: float, horizon: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Forecasts for 1..horizon days from the centred log variances, latest first; the same without the lognormal correction; and how often
+    the variance's cap binds."""
     h = min(max(h, 0.02), 0.49)
     u, d, a = np.arange(1.0, len(past) + 1), np.arange(1.0, horizon + 1), h + 0.5
     kernel = np.cos(np.pi * h) / np.pi * d[:, None] ** a / ((u[None, :] + d[:, None]) * u[None, :] ** a)
     raw = fbm_constant(h) * nu2 * d ** (2 * h)
-    return np.exp(mean + kernel @ past + np.minimum(raw, var) / 2), int((raw >= var).sum())
+    plain = mean + kernel @ past
+    return np.exp(plain + np.minimum(raw, var) / 2), np.exp(plain), int((raw >= var).sum())
 
 
 def rough_forecast(m: DataFrame, params: DataFrame, horizon: int = 21, reach: int = 1500) -> DataFrame:
-    """Rough-volatility forecasts at the dates of `params` (symbol, date, h, nu2): mean of the points and the count of capped ones. One
+    """Rough-volatility forecasts at the dates of `params` (symbol, date, h, nu2): mean of the points, what the lognormal correction adds, and the count of capped points. One
     task for each date gets the at most `reach` + 1 rows it weighs and the running mean and variance, so no task holds a whole history."""
     x = m.where(F.col("log_rv").isNotNull())
     x = x.select("symbol", "date", F.collect_list("log_rv").over(_w().rowsBetween(-reach, 0)).alias("tail"), F.avg("log_rv").over(_upto()).alias("mu"), F.var_samp("log_rv").over(_upto()).alias("var"))
     j = x.join(params, ["symbol", "date"])
 
-    @F.pandas_udf("v double, capped int")
+    @F.pandas_udf("v double, retransform_pct double, capped int")
     def run(tail: pd.Series, mu: pd.Series, var: pd.Series, h: pd.Series, nu2: pd.Series) -> pd.DataFrame:
         out = []
         for t, mean, s2, h0, n2 in zip(tail, mu, var, h, nu2):
             x_ = np.asarray(t, dtype=float)
-            points, capped = rough_points((x_ - mean)[::-1][: min(reach, len(x_) - 1)], mean, s2, h0, n2, horizon)
-            out.append((float(points.mean()), capped))
-        return pd.DataFrame(out, columns=["v", "capped"])
+            points, plain, capped = rough_points((x_ - mean)[::-1][: min(reach, len(x_) - 1)], mean, s2, h0, n2, horizon)
+            out.append((float(points.mean()), float(points.mean() / plain.mean() - 1), capped))
+        return pd.DataFrame(out, columns=["v", "retransform_pct", "capped"])
 
-    return j.withColumn("f", run("tail", "mu", "var", "h", "nu2")).select("symbol", "date", "h", "f.v", "f.capped")
+    return j.withColumn("f", run("tail", "mu", "var", "h", "nu2")).select("symbol", "date", "h", "f.v", "f.retransform_pct", "f.capped")
 
 
 def lambda_h(phi: Column, h: Column) -> Column:

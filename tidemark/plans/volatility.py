@@ -262,8 +262,8 @@ add("crisis_mask", "date:d crisis", "(SELECT date, " + " OR ".join(f"date BETWEE
     lambda s, d: _traded(_bars(s, d)).select("date", (F.col("date").between(F.lit(CRISES[0][0]).cast("date"), F.lit(CRISES[0][1]).cast("date")) | F.col("date").between(F.lit(CRISES[1][0]).cast("date"), F.lit(CRISES[1][1]).cast("date"))).alias("crisis")))
 add("auto_lags", "n:i lag:i", "(SELECT n, floor(4 * pow(n / 100.0e0, 2.0e0 / 9.0e0)) AS lag FROM (SELECT unnest([50, 100, 318, 1000, 6688]) AS n))",
     lambda s, d: s.createDataFrame([(n,) for n in (50, 100, 318, 1000, 6688)], "n bigint").withColumn("lag", stats.auto_lag(F.col("n"))))
-add("fbm_constants", "h:4 c:8", "(SELECT h, gamma(1.5e0 - h) / (gamma(h + 0.5e0) * gamma(2 - 2 * h)) AS c FROM (SELECT unnest(range(2, 50)) / 100.0e0 AS h))",
-    lambda s, d: s.range(2, 50).select((F.col("id") / 100.0).alias("h")).withColumn("c", stats.gamma_fn(1.5 - F.col("h")) / (stats.gamma_fn(F.col("h") + 0.5) * stats.gamma_fn(2 - 2 * F.col("h")))))
+add("fbm_constants", "h:4 c:8 c_alt:8", "(SELECT h, gamma(1.5e0 - h) / (gamma(h + 0.5e0) * gamma(2 - 2 * h)) AS c, gamma(1.5e0 - h) / (gamma(h + 0.5e0) * gamma(2 - 2 * h)) / (2 * h) AS c_alt FROM (SELECT unnest(range(2, 50)) / 100.0e0 AS h))",
+    lambda s, d: s.range(2, 50).select((F.col("id") / 100.0).alias("h")).withColumn("c", stats.gamma_fn(1.5 - F.col("h")) / (stats.gamma_fn(F.col("h") + 0.5) * stats.gamma_fn(2 - 2 * F.col("h")))).withColumn("c_alt", F.col("c") / (2 * F.col("h"))))
 add("money_labels", "symbol label", "(SELECT symbol, CASE WHEN v >= 1e6 THEN printf('$%.2fM', v / 1e6) ELSE printf('$%.0fk', v / 1e3) END AS label FROM (SELECT symbol, sum(volume) AS v FROM flagbars GROUP BY symbol))",
     lambda s, d: _flags(s, d).groupBy("symbol").agg(F.sum("volume").alias("v")).withColumn("label", F.when(F.col("v") >= 1e6, F.format_string("$%.2fM", F.col("v") / 1e6)).otherwise(F.format_string("$%.0fk", F.col("v") / 1e3))))
 add("strategy_names", "model family distribution", "(SELECT DISTINCT model, split_part(model, '_', 1) AS family, CASE WHEN model LIKE '%\\_skewt' ESCAPE '\\' THEN 'skewt' WHEN model LIKE '%\\_normal' ESCAPE '\\' THEN 'normal' ELSE 'none' END AS distribution FROM (SELECT model || CASE WHEN dist = 'none' THEN '' ELSE '_' || dist END AS model FROM param_paths WHERE model IS NOT NULL AND dist IS NOT NULL))",
@@ -349,7 +349,8 @@ def _rough(s: SparkSession, d: str) -> DataFrame:
         est = est.unionByName(forecasts.nu2_given_h(vg, h).withColumn("h", F.lit(h)))
     est = est.join(_reb(s, d).select("date"), "date", "left_semi")
     return forecasts.rough_forecast(m, est)
-add("rough_forecasts", "symbol date:d h:6 v:10 capped:i", None, _rough)
+add("rough_forecasts", "symbol date:d h:6 v:10 retransform_pct:8 capped:i", None, _rough)
+add("rough_retransform", "h:2 mean_pct:8 worst_pct:8 cap_share:6", None, lambda s, d: _rough(s, d).where(F.col("h").isin(0.02, 0.05, 0.10, 0.15)).groupBy("h").agg(F.avg("retransform_pct").alias("mean_pct"), F.max("retransform_pct").alias("worst_pct"), (F.avg("capped") / 21).alias("cap_share")))
 def _closed(s: SparkSession, d: str) -> DataFrame:
     ok = "sig2bar IS NOT NULL AND NOT isnan(sig2bar) AND persistence IS NOT NULL AND NOT isnan(persistence) AND sigma2_next IS NOT NULL"
     return forecasts.closed_form_term_structure(table(s, d, "param_paths").where(ok).select("param_id", "sig2bar", "sigma2_next", "persistence"), 21).where("h IN (1, 5, 21)")
@@ -436,3 +437,4 @@ add("hurst_grid_spread", "stage mean_spread:6 p95_spread:6", None, _grid_spread)
 add("adherence_pairwise", "i j p_closer:4", None, lambda s, d: E.adherence_pairwise(_bt(s, d), RULES.target))
 add("interval_widths", "strategy d42:6 d105:6 d210:6", None, lambda s, d: E.adherence_bootstrap(_bt(s, d), RULES.target, [42, 105, 210]).groupBy("strategy").pivot("block_days", [42, 105, 210]).agg(F.max(F.col("ci90_hi") - F.col("ci90_lo"))).select("strategy", F.col("42").alias("d42"), F.col("105").alias("d105"), F.col("210").alias("d210")))
 add("parquet_footers", "file row_group:i rows:i lo hi", None, lambda s, d: files.footers(s, f"{d}/qqq_1m.parquet", "ticker"))
+add("egarch_daily", "date:d refit:d v:8", None, lambda s, d: fits.egarch_daily(cut(fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d), models=("egarch",), dists=("normal",))), _traded(M.returns(_bars(s, d)))))
