@@ -83,9 +83,12 @@ def variance_path(model: str, p: dict[str, float], r: np.ndarray, known: int | N
     log_s = math.log(long_run)
     out = [log_s]
     w, a, g, b = p["omega"], p["alpha"], p["gamma"], p["beta"]
-    for x in r.tolist():
-        z = x * math.exp(-0.5 * log_s)
-        log_s = max(min(w + a * (abs(z) - ROOT_2_PI) + g * z + b * log_s, 50.0), -50.0)
+    w -= a * ROOT_2_PI
+    exp = math.exp
+    for c in (r * (g + a * np.sign(r))).tolist():  # alpha |z| + gamma z is c / sigma
+        log_s = w + c * exp(-0.5 * log_s) + b * log_s
+        if not -50.0 <= log_s <= 50.0:
+            log_s = 50.0 if log_s > 50.0 else -50.0
         out.append(log_s)
     return np.exp(np.array(out))
 
@@ -117,21 +120,29 @@ def _unpack(model: str, dist: str, x: np.ndarray) -> dict[str, float]:
     return p
 
 
-def fit(model: str, dist: str, returns: np.ndarray, most: int = 400) -> dict:
-    """Maximum likelihood on percent returns, centred; variances come back in the returns' own unit."""
+def fit(model: str, dist: str, returns: np.ndarray, most: int = 8000) -> dict:
+    """Maximum likelihood on percent returns, centred; variances come back in the returns' own unit. The simplex starts again from its best point
+    until that gains nothing more: only then is the fit converged. `most` is a guard in evaluations of the likelihood over all starts."""
     r = (returns - returns.mean()) * 100
     level = math.log(float((r * r).mean()))
     start = {"garch": [3.0, -2.9], "gjr": [3.0, -2.9, 0.0], "egarch": [0.05 * level, 0.1, -0.05, 1.8]}[model]
-    x0 = np.array([*start, *([-2.2, -0.05] if dist == "skewt" else [])])
+    x = np.array([*start, *([-2.2, -0.05] if dist == "skewt" else [])])
+    used = 0
 
     def loss(x: np.ndarray) -> float:
+        nonlocal used
+        used += 1
         p = _unpack(model, dist, x)
         s2 = variance_path(model, p, r)[:-1]
         v = -log_density(r / np.sqrt(s2), s2, dist, p.get("eta", 8.0), p.get("lambda", 0.0))
         return v if math.isfinite(v) else 1e12
 
-    x, value, ok = simplex(loss, x0, most=most)
-    return {"params": _unpack(model, dist, x), "loglik": -value, "converged": ok}
+    value, done = math.inf, False
+    while not done and used < most:
+        before = value
+        x, value, ok = simplex(loss, x, most=most - used)
+        done = ok and before - value <= 1e-6 * (abs(value) + 1)
+    return {"params": _unpack(model, dist, x), "loglik": -value, "converged": done, "evaluations": used}
 
 
 def state(model: str, params: dict[str, float], returns: np.ndarray) -> dict[str, float]:
@@ -172,7 +183,7 @@ def simulate_garch_mean(alpha: float, beta: float, sig2bar: float, nxt: float, h
 FIELDS = "symbol string, date date, seq int, model string, dist string, converged boolean, carried boolean, n int, loglik double, persistence double, sig2bar double, sigma2_next double, v21 double, params map<string,double>"
 
 
-def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS, dists: tuple[str, ...] = DISTS, least: int = 250, h: int = 21, paths: int = 2000, seed: int = 0, most: int = 300) -> DataFrame:
+def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS, dists: tuple[str, ...] = DISTS, least: int = 250, h: int = 21, paths: int = 2000, seed: int = 0, most: int = 8000) -> DataFrame:
     """Every date x model x distribution on the returns up to the date. A fit that doesn't converge takes the last converged parameters of its
     model before it, filtered on the data of its own date; without one it gives no forecast.
 
