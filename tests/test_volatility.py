@@ -1,6 +1,7 @@
 """Anchors, identities and causality of the volatility operators."""
 
 import ast
+import inspect
 import math
 import random
 from datetime import date, timedelta
@@ -277,3 +278,21 @@ def test_refits_converge_at_the_production_cap(spark):
             p = r["params"]
             _, best, _ = fits.simplex(loss, np.array([p["omega"], p["alpha"], p["gamma"], math.atanh(p["beta"])]), step=0.1, most=1500)
             assert best > -r["loglik"] - 0.01
+
+
+def test_egarch_simulates_the_fitted_distribution():
+    p = {"omega": 0.0, "alpha": -0.5, "gamma": 0.2, "beta": 0.5, "eta": 3.5, "lambda": -0.4}  # signs that keep the mean finite
+    z = fits.shocks(p, 400_000, np.random.default_rng(4))
+    grid = np.linspace(-300, 300, 3_000_001)
+    c = math.exp(math.lgamma(2.25) - math.lgamma(1.75)) / math.sqrt(math.pi * 1.5)
+    a = 4 * -0.4 * c * 1.5 / 2.5
+    b = math.sqrt(1 + 3 * 0.16 - a * a)
+    density = b * c * (1 + ((b * grid + a) / np.where(grid < -a / b, 1.4, 0.6)) ** 2 / 1.5) ** -2.25
+    cdf = np.cumsum(density) * (grid[1] - grid[0])
+    for q in (-2.0, -1.0, 0.0, 0.5, 1.0):
+        assert (z < q).mean() == pytest.approx(np.interp(q, grid, cdf), abs=4e-3)
+    two = fits.egarch_path(p, 1e-4, 2, 200_000, np.random.default_rng(4))[1]
+    want = (density * np.exp(-0.5 * (np.abs(grid) - fits.ROOT_2_PI) + 0.2 * grid)).sum() * (grid[1] - grid[0]) / 1e4
+    plain = fits.egarch_path({k: p[k] for k in ("omega", "alpha", "gamma", "beta")}, 1e-4, 2, 200_000, np.random.default_rng(4))[1]
+    assert abs(two - want) < abs(two - plain) / 3
+    assert all(inspect.signature(f).parameters["paths"].default == 10_000 for f in (fits.refit, fits.egarch_daily))

@@ -159,14 +159,29 @@ def closed_form(sig2bar: float, nxt: float, phi: float, h: int) -> float:
     return sig2bar + lam * (nxt - sig2bar)
 
 
+def shocks(params: dict[str, float], n: int, rng: np.random.Generator) -> np.ndarray:
+    """Standardised draws of the distribution the parameters were fitted under: Hansen's skewed t if they hold its shape, else Gaussian."""
+    if "eta" not in params:
+        return rng.standard_normal(n)
+    eta, lam = params["eta"], params["lambda"]
+    c = math.exp(math.lgamma((eta + 1) / 2) - math.lgamma(eta / 2)) / math.sqrt(math.pi * (eta - 2))
+    a = 4 * lam * c * (eta - 2) / (eta - 1)
+    b = math.sqrt(1 + 3 * lam * lam - a * a)
+    # two halves of a t scaled to unit variance: the left with chance (1 - lambda) / 2 and stretched by 1 - lambda, the right by 1 + lambda
+    t = np.abs(rng.standard_t(eta, n)) * math.sqrt((eta - 2) / eta)
+    u = np.where(rng.random(n) < (1 - lam) / 2, -(1 - lam) * t, (1 + lam) * t)
+    return (u - a) / b
+
+
 def egarch_path(params: dict[str, float], sigma2_next: float, h: int, paths: int, rng: np.random.Generator) -> np.ndarray:
-    """Expected variance of each of the next h days by simulation with Gaussian shocks."""
+    """Expected variance of each of the next h days by simulation with shocks of the fitted distribution."""
     log_s = np.full(paths, math.log(sigma2_next * 1e4))
     out = []
-    for _ in range(h):
+    for k in range(h):
         out.append(float(np.exp(log_s).mean()) / 1e4)
-        z = rng.standard_normal(paths)
-        log_s = np.clip(params["omega"] + params["alpha"] * (np.abs(z) - ROOT_2_PI) + params["gamma"] * z + params["beta"] * log_s, -50, 50)
+        if k + 1 < h:
+            z = shocks(params, paths, rng)
+            log_s = np.clip(params["omega"] + params["alpha"] * (np.abs(z) - ROOT_2_PI) + params["gamma"] * z + params["beta"] * log_s, -50, 50)
     return np.array(out)
 
 
@@ -183,7 +198,7 @@ def simulate_garch_mean(alpha: float, beta: float, sig2bar: float, nxt: float, h
 FIELDS = "symbol string, date date, seq int, model string, dist string, converged boolean, carried boolean, n int, loglik double, persistence double, sig2bar double, sigma2_next double, v21 double, params map<string,double>"
 
 
-def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS, dists: tuple[str, ...] = DISTS, least: int = 250, h: int = 21, paths: int = 2000, seed: int = 0, most: int = 8000) -> DataFrame:
+def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS, dists: tuple[str, ...] = DISTS, least: int = 250, h: int = 21, paths: int = 10_000, seed: int = 0, most: int = 8000) -> DataFrame:
     """Every date x model x distribution on the returns up to the date. A fit that doesn't converge takes the last converged parameters of its
     model before it, filtered on the data of its own date; without one it gives no forecast.
 
@@ -226,17 +241,17 @@ def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS
     return todo.select("symbol", "date", "seq", "model", "dist", "converged", "carried", "loglik", "params", "h").mapInPandas(second, FIELDS)
 
 
-def egarch_daily(refits: DataFrame, rets: DataFrame, *, h: int = 21, paths: int = 2000, seed: int = 0) -> DataFrame:
+def egarch_daily(refits: DataFrame, rets: DataFrame, *, h: int = 21, paths: int = 10_000, seed: int = 0) -> DataFrame:
     """EGARCH forecasts for every day with the parameters of the last refit before or on it: one task for each refit filters the returns once,
-    centred by the mean known at the refit, and simulates from each day's state. (symbol, date, refit, v)"""
+    centred by the mean known at the refit, and simulates from each day's state, for each distribution. (symbol, date, refit, dist, v)"""
     w = Window.partitionBy("symbol").orderBy("date")
-    p = refits.where((F.col("model") == "egarch") & (F.col("dist") == "normal") & F.col("params").isNotNull()).select("symbol", F.col("date").alias("refit"), "seq", "params")
-    p = p.withColumn("upto", F.lead("refit").over(Window.partitionBy("symbol").orderBy("refit")))
+    p = refits.where((F.col("model") == "egarch") & F.col("params").isNotNull()).select("symbol", "dist", F.col("date").alias("refit"), "seq", "params")
+    p = p.withColumn("upto", F.lead("refit").over(Window.partitionBy("symbol", "dist").orderBy("refit")))
     r = rets.where(F.col("log_ret").isNotNull()).select("symbol", "date", "log_ret")
-    last = r.join(p, "symbol").where((F.col("date") >= F.col("refit")) & (F.col("upto").isNull() | (F.col("date") < F.col("upto")))).groupBy("symbol", "refit").agg(F.max("date").alias("date"), F.collect_set("date").alias("days"))
+    last = r.join(p, "symbol").where((F.col("date") >= F.col("refit")) & (F.col("upto").isNull() | (F.col("date") < F.col("upto")))).groupBy("symbol", "dist", "refit").agg(F.max("date").alias("date"), F.collect_set("date").alias("days"))
     hist = r.select("symbol", "date", F.collect_list(F.struct("date", "log_ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("h"))
-    tasks = last.join(hist, ["symbol", "date"]).join(p, ["symbol", "refit"]).select("symbol", "refit", "seq", "params", F.array_sort("days").alias("days"), F.transform("h", lambda x: x["date"]).alias("at"), F.transform("h", lambda x: x["log_ret"]).alias("x"))
-    tasks = tasks.repartition(4 * rets.sparkSession.sparkContext.defaultParallelism, "symbol", "refit")
+    tasks = last.join(hist, ["symbol", "date"]).join(p, ["symbol", "dist", "refit"]).select("symbol", "dist", "refit", "seq", "params", F.array_sort("days").alias("days"), F.transform("h", lambda x: x["date"]).alias("at"), F.transform("h", lambda x: x["log_ret"]).alias("x"))
+    tasks = tasks.repartition(4 * rets.sparkSession.sparkContext.defaultParallelism, "symbol", "dist", "refit")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -247,7 +262,7 @@ def egarch_daily(refits: DataFrame, rets: DataFrame, *, h: int = 21, paths: int
                 path = variance_path("egarch", params, (x - known.mean()) * 100, len(known))
                 place = {d: i for i, d in enumerate(at)}
                 rng = np.random.default_rng([seed, int(t.seq)])
-                rows += [(t.symbol, d, t.refit, float(egarch_path(params, path[place[d] + 1] / 1e4, h, paths, rng).mean())) for d in t.days]
-            yield pd.DataFrame(rows, columns=["symbol", "date", "refit", "v"])
+                rows += [(t.symbol, d, t.refit, t.dist, float(egarch_path(params, path[place[d] + 1] / 1e4, h, paths, rng).mean())) for d in t.days]
+            yield pd.DataFrame(rows, columns=["symbol", "date", "refit", "dist", "v"])
 
-    return tasks.mapInPandas(run, "symbol string, date date, refit date, v double")
+    return tasks.mapInPandas(run, "symbol string, date date, refit date, dist string, v double")

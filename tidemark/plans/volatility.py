@@ -437,4 +437,4 @@ add("hurst_grid_spread", "stage mean_spread:6 p95_spread:6", None, _grid_spread)
 add("adherence_pairwise", "i j p_closer:4", None, lambda s, d: E.adherence_pairwise(_bt(s, d), RULES.target))
 add("interval_widths", "strategy d42:6 d105:6 d210:6", None, lambda s, d: E.adherence_bootstrap(_bt(s, d), RULES.target, [42, 105, 210]).groupBy("strategy").pivot("block_days", [42, 105, 210]).agg(F.max(F.col("ci90_hi") - F.col("ci90_lo"))).select("strategy", F.col("42").alias("d42"), F.col("105").alias("d105"), F.col("210").alias("d210")))
 add("parquet_footers", "file row_group:i rows:i lo hi", None, lambda s, d: files.footers(s, f"{d}/qqq_1m.parquet", "ticker"))
-add("egarch_daily", "date:d refit:d v:8", None, lambda s, d: fits.egarch_daily(cut(fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d), models=("egarch",), dists=("normal",))), _traded(M.returns(_bars(s, d)))))
+add("egarch_daily", "date:d refit:d dist v:8", None, lambda s, d: fits.egarch_daily(cut(fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d), models=("egarch",))), _traded(M.returns(_bars(s, d)))))
