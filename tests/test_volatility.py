@@ -296,3 +296,12 @@ def test_egarch_simulates_the_fitted_distribution():
     plain = fits.egarch_path({k: p[k] for k in ("omega", "alpha", "gamma", "beta")}, 1e-4, 2, 200_000, np.random.default_rng(4))[1]
     assert abs(two - want) < abs(two - plain) / 3
     assert all(inspect.signature(f).parameters["paths"].default == 10_000 for f in (fits.refit, fits.egarch_daily))
+
+
+def test_term_structure_has_every_horizon(spark, tmp_path):
+    from tidemark.plans import volatility as V
+
+    spark.createDataFrame([(1, 1e-4, 2e-4, 0.9), (2, 1e-4, 2e-4, 1.0)], "param_id long, sig2bar double, sigma2_next double, persistence double").write.parquet(str(tmp_path / "param_paths.parquet"))
+    got = {(int(r["param_id"]), int(r["h"])): float(r["v"]) for r in V.QUERIES["term_structure_full"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [(i, h) for i in (1, 2) for h in range(1, 64)]
+    assert all(got[1, h] == pytest.approx(1e-4 + 1e-4 * sum(0.9**k for k in range(h)) / h, abs=1e-9) and got[2, h] == pytest.approx(2e-4) for h in range(1, 64))

@@ -351,10 +351,13 @@ def _rough(s: SparkSession, d: str) -> DataFrame:
     return forecasts.rough_forecast(m, est)
 add("rough_forecasts", "symbol date:d h:6 v:10 retransform_pct:8 capped:i", None, _rough)
 add("rough_retransform", "h:2 mean_pct:8 worst_pct:8 cap_share:6", None, lambda s, d: _rough(s, d).where(F.col("h").isin(0.02, 0.05, 0.10, 0.15)).groupBy("h").agg(F.avg("retransform_pct").alias("mean_pct"), F.max("retransform_pct").alias("worst_pct"), (F.avg("capped") / 21).alias("cap_share")))
-def _closed(s: SparkSession, d: str) -> DataFrame:
+def _closed_full(s: SparkSession, d: str) -> DataFrame:
     ok = "sig2bar IS NOT NULL AND NOT isnan(sig2bar) AND persistence IS NOT NULL AND NOT isnan(persistence) AND sigma2_next IS NOT NULL"
-    return forecasts.closed_form_term_structure(table(s, d, "param_paths").where(ok).select("param_id", "sig2bar", "sigma2_next", "persistence"), 21).where("h IN (1, 5, 21)")
+    return forecasts.closed_form_term_structure(table(s, d, "param_paths").where(ok).select("param_id", "sig2bar", "sigma2_next", "persistence"))
+def _closed(s: SparkSession, d: str) -> DataFrame:
+    return _closed_full(s, d).where("h IN (1, 5, 21)")
 add("term_structure", "param_id:i h:i v:10", "(SELECT param_id, h, sig2bar + CASE WHEN abs(persistence - 1) < 1e-12 THEN 1 ELSE (1 - pow(persistence, h)) / (h * (1 - persistence)) END * (sigma2_next - sig2bar) AS v FROM param_paths, (SELECT unnest([1, 5, 21]) AS h) WHERE sig2bar IS NOT NULL AND NOT isnan(sig2bar) AND persistence IS NOT NULL AND NOT isnan(persistence) AND sigma2_next IS NOT NULL)", _closed)
+add("term_structure_full", "param_id:i h:i v:10", "(SELECT param_id, h, sig2bar + CASE WHEN abs(persistence - 1) < 1e-12 THEN 1 ELSE (1 - pow(persistence, h)) / (h * (1 - persistence)) END * (sigma2_next - sig2bar) AS v FROM param_paths, (SELECT unnest(generate_series(1, 63)) AS h) WHERE sig2bar IS NOT NULL AND NOT isnan(sig2bar) AND persistence IS NOT NULL AND NOT isnan(persistence) AND sigma2_next IS NOT NULL)", _closed_full)
 def _fits(s: SparkSession, d: str) -> DataFrame:
     return fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d))
 add("model_refits", "date:d model dist converged carried n:i persistence:4 sig2bar:8 sigma2_next:8 v21:8", None, _fits)
