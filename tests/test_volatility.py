@@ -305,3 +305,18 @@ def test_term_structure_has_every_horizon(spark, tmp_path):
     got = {(int(r["param_id"]), int(r["h"])): float(r["v"]) for r in V.QUERIES["term_structure_full"](spark, str(tmp_path)).collect()}
     assert sorted(got) == [(i, h) for i in (1, 2) for h in range(1, 64)]
     assert all(got[1, h] == pytest.approx(1e-4 + 1e-4 * sum(0.9**k for k in range(h)) / h, abs=1e-9) and got[2, h] == pytest.approx(2e-4) for h in range(1, 64))
+
+
+def test_every_model_reaches_the_evaluation(spark, monkeypatch):
+    """28 pairs of the eight primary models for each loss, and all fifteen in the sensitivity set; the fits, tested above, are replaced by constants."""
+    from tidemark.plans import volatility as V
+
+    def stub(s, d):
+        grid = spark.createDataFrame([(m, x, 1e-4 * (1 + i / 10)) for i, (m, x) in enumerate((m, x) for m in fits.MODELS for x in fits.DISTS)], "model string, dist string, v21 double")
+        return V._reb(s, d).select("date").crossJoin(grid)
+
+    monkeypatch.setattr(V, "_fits", stub)
+    folder = "/root/testdata/sf0.01"
+    pairs = V.QUERIES["models_dm_pairs"](spark, folder).select("loss", "a", "b").collect()
+    assert len(pairs) == 56 and {r["a"] for r in pairs} | {r["b"] for r in pairs} == set(V.PRIMARY)
+    assert {r["model"] for r in V.QUERIES["models_loss_table"](spark, folder).select("model").collect()} == set(V.PRIMARY + V.SENSITIVITY)

@@ -441,3 +441,61 @@ add("adherence_pairwise", "i j p_closer:4", None, lambda s, d: E.adherence_pairw
 add("interval_widths", "strategy d42:6 d105:6 d210:6", None, lambda s, d: E.adherence_bootstrap(_bt(s, d), RULES.target, [42, 105, 210]).groupBy("strategy").pivot("block_days", [42, 105, 210]).agg(F.max(F.col("ci90_hi") - F.col("ci90_lo"))).select("strategy", F.col("42").alias("d42"), F.col("105").alias("d105"), F.col("210").alias("d210")))
 add("parquet_footers", "file row_group:i rows:i lo hi", None, lambda s, d: files.footers(s, f"{d}/qqq_1m.parquet", "ticker"))
 add("egarch_daily", "date:d refit:d dist v:8", None, lambda s, d: fits.egarch_daily(cut(fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d), models=("egarch",))), _traded(M.returns(_bars(s, d)))))
+
+# ---------------------------------------------------------------- all models in evaluation and portfolio (rows only: SQL can't follow the fits)
+PRIMARY = ["garch_skewt", "egarch_skewt", "gjr_skewt", "ewma", "rv", "har", "rfsv", "trailing_rv21"]
+SENSITIVITY = ["rfsv_h002", "rfsv_h005", "rfsv_h010", "rfsv_h015", "garch_normal", "gjr_normal", "egarch_normal"]
+
+
+@once
+def _models(s: SparkSession, d: str) -> DataFrame:
+    """(date, model, v) of all primary and sensitivity models at the rebalance dates with enough history."""
+    m, reb = _traded(_meas(s, d)), _reb(s, d).select("date")
+    fit = _fits(s, d).select("date", F.concat_ws("_", "model", "dist").alias("model"), F.col("v21").alias("v"))
+    closed = _forecasts(s, d).where(F.col("model").isin("ewma", "rv21")).select("date", F.when(F.col("model") == "rv21", "rv").otherwise(F.col("model")).alias("model"), "v")
+    trailing = m.select("date", F.lit("trailing_rv21").alias("model"), F.col("yz").alias("v")).join(reb, "date", "left_semi")
+    har = forecasts.har_forecast(m).select("date", F.lit("har").alias("model"), "v").join(reb, "date", "left_semi")
+    vg = forecasts.variogram(m)
+    own = forecasts.rough_forecast(m, forecasts.hurst(vg).select("symbol", "date", "h", "nu2").join(reb, "date", "left_semi")).select("date", F.lit("rfsv").alias("model"), "v")
+    fixed = [forecasts.nu2_given_h(vg, h).withColumn("h", F.lit(h)).join(reb, "date", "left_semi") for h in (0.02, 0.05, 0.10, 0.15)]
+    grid = forecasts.rough_forecast(m, fixed[0].unionByName(fixed[1]).unionByName(fixed[2]).unionByName(fixed[3])).select("date", F.format_string("rfsv_h%03d", F.round(100 * F.col("h")).cast("int")).alias("model"), "v")
+    out = fit.unionByName(closed).unionByName(trailing).unionByName(har).unionByName(own).unionByName(grid)
+    return cut(out.where(F.col("v").isNotNull()))
+
+
+@once
+def _model_frame(s: SparkSession, d: str) -> DataFrame:
+    t = forward_mean(_traded(_meas(s, d)), "rv_daily", 21, "rv").select("date", "rv").where(F.col("date") >= F.lit(RULES.eval_start).cast("date"))
+    return E.complete_cases(_models(s, d), t)
+
+
+@once
+def _model_losses(s: SparkSession, d: str) -> DataFrame:
+    return cut(E.losses(_model_frame(s, d)))
+
+
+@once
+def _model_bt(s: SparkSession, d: str) -> DataFrame:
+    rets = _traded(M.returns(_bars(s, d)))
+    return cut(B.backtest(B.schedules(_models(s, d).withColumnRenamed("model", "strategy"), rets, RULES), rets, market.rates(s, d), RULES))
+
+
+def _primary(df: DataFrame) -> DataFrame:
+    return df.where(F.col("model").isin(PRIMARY))
+
+
+def _model_sets(s: SparkSession, d: str) -> DataFrame:
+    l = _model_losses(s, d)
+    one, all_ = (E.model_confidence_sets(x, [2, 5, 10]).withColumn("set", F.lit(n)) for n, x in (("primary", _primary(l)), ("sensitivity", l)))
+    return one.unionByName(all_)
+add("models_forecasts", "date:d model v:8", None, _models)
+add("models_loss_table", "model min_forecast:8 qlike_mean:7 qlike_se:7 mse_mean:13 mse_se:13 qlike_rank:i mse_rank:i", None, lambda s, d: E.loss_table(_model_losses(s, d)))
+add("models_loss_concentration", "loss model full_mean:12 calm_mean:12 top_share:6 rank_full:i rank_calm:i", None, lambda s, d: E.loss_concentration(_model_losses(s, d), CRISES))
+add("models_dm_pairs", "loss a b dm:5 lag:i acf1:6 mean_diff:12 n:i", None, lambda s, d: E.diebold_mariano(_primary(_model_losses(s, d))))
+add("models_mincer_zarnowitz", "model a:9 b:5 r2:6 se_a:9 se_b:5 wald:3 n:i", None, lambda s, d: E.mincer_zarnowitz(_model_frame(s, d)))
+add("models_confidence_sets", "set loss block:i model mcs_p:4 retained", None, _model_sets)
+add("models_backtest_metrics", "strategy final_equity:2 cagr:7 realized_vol:7 vol_target_gap:7 sharpe_excess:6 max_drawdown:7 mean_leverage:7", None, lambda s, d: B.metrics(_model_bt(s, d), RULES))
+add("models_adherence", "strategy realized_vol:7 vol_target_gap:7 mad_nonoverlap:7 vol_of_vol:7 frac_within_10pct:6 frac_within_25pct:6 n_blocks:i", None, lambda s, d: B.adherence(_model_bt(s, d), RULES))
+add("models_ledoit_wolf", "i j diff:8 z:5 lag:i", None, lambda s, d: E.ledoit_wolf(_model_bt(s, d)))
+add("models_deflated_sharpe", "strategy sr:8 sr0:8 z:5 dsr:6", None, lambda s, d: E.deflated_sharpe(_model_bt(s, d), 19))
+add("models_adherence_bootstrap", "block_days:i strategy point:6 ci90_lo:6 ci90_hi:6 p_best:4", None, lambda s, d: E.adherence_bootstrap(_model_bt(s, d), RULES.target, [42, 105, 210]))
