@@ -320,3 +320,11 @@ def test_every_model_reaches_the_evaluation(spark, monkeypatch):
     pairs = V.QUERIES["models_dm_pairs"](spark, folder).select("loss", "a", "b").collect()
     assert len(pairs) == 56 and {r["a"] for r in pairs} | {r["b"] for r in pairs} == set(V.PRIMARY)
     assert {r["model"] for r in V.QUERIES["models_loss_table"](spark, folder).select("model").collect()} == set(V.PRIMARY + V.SENSITIVITY)
+
+
+def test_adherence_confidence_sets(spark):
+    rng, days = np.random.default_rng(8), [date(2000, 1, 3) + timedelta(i) for i in range(21 * 40)]
+    rows = [(n, d, float(rng.standard_normal() * v / math.sqrt(252))) for n, v in (("near", 0.2), ("far", 0.5)) for d in days]
+    bt = spark.createDataFrame(rows, "strategy string, date date, ret double")
+    got = {(r["block_units"], r["model"]): r["retained"] for r in E.adherence_confidence_sets(bt, 0.2, [2, 5], reps=500).collect()}
+    assert got == {(b, m): m == "near" for b in (2, 5) for m in ("near", "far")}

@@ -205,6 +205,22 @@ def model_confidence_sets(l: DataFrame, loss_blocks: list[int], *, alpha: float
     return x.groupBy("loss", "block").applyInPandas(run, "loss string, block int, model string, mcs_p double, retained boolean")
 
 
+def adherence_confidence_sets(bt: DataFrame, target: float, blocks_units: list[int], *, alpha: float = 0.10, reps: int = 10_000, seed: int = 0, unit: int = 21) -> DataFrame:
+    """Confidence sets of strategies on the absolute deviation of block volatility from the target; bootstrap lengths count blocks of `unit` days."""
+    from tidemark.operators.backtest import blocks
+
+    b = blocks(bt, unit).withColumn("length", F.explode(F.array(*[F.lit(x) for x in blocks_units])))
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        m = g.pivot(index="block", columns="strategy", values="bvol").sort_index().dropna()
+        length = int(g["length"].iloc[0])
+        out = confidence_set(np.abs(m.to_numpy() - target), list(m.columns), alpha=alpha, reps=reps, block=length, seed=seed)
+        out.insert(0, "block_units", length)
+        return out
+
+    return b.groupBy("length").applyInPandas(run, "block_units int, model string, mcs_p double, retained boolean")
+
+
 def adherence_bootstrap(bt: DataFrame, target: float, block_days: list[int], *, reps: int = 2000, seed: int = 0, unit: int = 21) -> DataFrame:
     """90 % intervals of each strategy's mean absolute deviation of block volatility from the target, and the chance that it is the least. The
     replicates resample whole blocks and are shared by all strategies."""

@@ -499,3 +499,4 @@ add("models_adherence", "strategy realized_vol:7 vol_target_gap:7 mad_nonoverlap
 add("models_ledoit_wolf", "i j diff:8 z:5 lag:i", None, lambda s, d: E.ledoit_wolf(_model_bt(s, d)))
 add("models_deflated_sharpe", "strategy sr:8 sr0:8 z:5 dsr:6", None, lambda s, d: E.deflated_sharpe(_model_bt(s, d), 19))
 add("models_adherence_bootstrap", "block_days:i strategy point:6 ci90_lo:6 ci90_hi:6 p_best:4", None, lambda s, d: E.adherence_bootstrap(_model_bt(s, d), RULES.target, [42, 105, 210]))
+add("models_adherence_sets", "block_units:i model mcs_p:4 retained", None, lambda s, d: E.adherence_confidence_sets(_model_bt(s, d).where(F.col("strategy").isin(PRIMARY)), RULES.target, [2, 5, 10]))
