@@ -328,3 +328,11 @@ def test_adherence_confidence_sets(spark):
     bt = spark.createDataFrame(rows, "strategy string, date date, ret double")
     got = {(r["block_units"], r["model"]): r["retained"] for r in E.adherence_confidence_sets(bt, 0.2, [2, 5], reps=500).collect()}
     assert got == {(b, m): m == "near" for b in (2, 5) for m in ("near", "far")}
+
+
+def test_confidence_sets_use_ten_thousand_replicates(spark):
+    assert all(inspect.signature(f).parameters["reps"].default == 10_000 for f in (E.confidence_set, E.model_confidence_sets))
+    rng = np.random.default_rng(3)
+    out = E.confidence_set(rng.random((60, 3)), list("abc"))
+    share = out["mcs_p"].to_numpy() * 10_000
+    assert np.allclose(share, np.round(share)) and (np.round(share) % 5 != 0).any()

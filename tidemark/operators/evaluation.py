@@ -164,7 +164,7 @@ def stationary_counts(t: int, reps: int, block: float, rng: np.random.Generator)
     return counts
 
 
-def confidence_set(loss: np.ndarray, names: list[str], *, alpha: float = 0.10, reps: int = 2000, block: int = 5, seed: int = 0) -> pd.DataFrame:
+def confidence_set(loss: np.ndarray, names: list[str], *, alpha: float = 0.10, reps: int = 10_000, block: int = 5, seed: int = 0) -> pd.DataFrame:
     """Model confidence set by the largest t-statistic. The worst model goes while the null of equal loss is rejected; p-values run up, and the
     survivors' are one. Identical models have no variance and stay together."""
     t = len(loss)
@@ -191,7 +191,7 @@ def confidence_set(loss: np.ndarray, names: list[str], *, alpha: float = 0.10, r
     return pd.DataFrame({"model": names, "mcs_p": [p.get(n, 0.0) for n in names], "retained": [p.get(n, 0.0) >= alpha for n in names]})
 
 
-def model_confidence_sets(l: DataFrame, loss_blocks: list[int], *, alpha: float = 0.10, reps: int = 2000, seed: int = 0) -> DataFrame:
+def model_confidence_sets(l: DataFrame, loss_blocks: list[int], *, alpha: float = 0.10, reps: int = 10_000, seed: int = 0) -> DataFrame:
     """Sets for each loss and block length; one task each, over a matrix of observations by models."""
     x = long_losses(l).withColumn("block", F.explode(F.array(*[F.lit(b) for b in loss_blocks])))
 
