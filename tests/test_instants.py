@@ -57,3 +57,11 @@ def test_em_weights(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "rec_id long, feed string, timestamp string")
     assert normalise_instants(df, spark.createDataFrame([], "feed string, zone string, date_order string")).count() == 0
+
+
+def test_long_padding_is_trimmed(spark):
+    texts = [" " * 300 + "2025-03-09T03:00" + "\t" * 300, "2008-05-22T22:05:00." + "1" * 300, "x" * 500, "7" * 400, " " * 400]
+    df = spark.createDataFrame([(i, "ny", t) for i, t in enumerate(texts)], "rec_id long, feed string, timestamp string")
+    got = {r["rec_id"]: (r["ts_us"], r["status"]) for r in normalise_instants(df, spark.createDataFrame(FEEDS, "feed string, zone string, date_order string")).collect()}
+    assert got[0] == (us(2025, 3, 9, 7), "ok") and all(got[i] == (None, "unreadable") for i in (2, 3, 4))
+    assert got[1][1] in ("ok", "unreadable") and got[1] in ((us(2008, 5, 23, 2, 5, micro=111111), "ok"), (None, "unreadable"))

@@ -70,7 +70,7 @@ def read_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """Each text's parses: `num_us` (a bare number's instant), `local` (seconds and fraction of the day apart from the date) by order:
     `fixed`, or `o_dmy`, `o_mdy`, `o_ymd` in days since 1970, `tod` in microseconds, `zone_min` (offset; null if none) and `zoned`."""
     s = F.regexp_replace(F.col(text), r"^[\s ﻿\"']+|[\s ﻿\"']+$", "")
-    base = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.when(F.length(F.col(text)) <= 200, s).otherwise(F.when(F.col(text).isNotNull(), F.lit(""))).alias("s"))
+    base = df.select(F.col(key).alias("key"), F.col(source).alias("source"), s.alias("s"))
     form: Column = F.lit(None).cast("string")
     for pattern, to in reversed(LAYOUTS):
         form = F.when(F.col("s").rlike(pattern), F.regexp_replace("s", pattern, to)).otherwise(form)
