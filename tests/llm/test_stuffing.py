@@ -1,17 +1,19 @@
 import base64
 import quopri
 import random
+import time
 
 import pytest
 
 from tidemark.llm.bodies import own_body
-from tidemark.llm.stuffing import normal, page_facts, page_scores
+from tidemark.llm.stuffing import normal, page_facts, page_scores, page_tokens, said_once, words_in_sentences
 
 HEAD = "From: a@b.example\nTo: c@d.example\nSubject: x\nMIME-Version: 1.0\n"
 PROSE = "I had a look at the table and it still does not agree with what you sent on Monday. Could you check it before Friday? The meeting depends on it, and nobody answered when I asked who would do it. "
 RNG = random.Random(1)
 WORDS = ["travel mug", "best price", "garden hose", "cheap watch", "phone case", "loan offer"]
 STUFFED = ", ".join(RNG.choice(WORDS) for _ in range(90))
+PUNCTUATED = " ".join(f"{RNG.choice(('best', 'cheap', 'new'))} travel mug {RNG.choice(WORDS)}{RNG.choice('.!?')} travel mug, {RNG.choice(WORDS)}." for _ in range(25))
 LINKS = "\n".join(f"* https://shop{i}.example/p?id={i}" for i in range(20))
 TAGS = " ".join("#" + RNG.choice(WORDS).title().replace(" ", "") for _ in range(40))
 TABLE = "Positions we hold:\n\n" + "\n".join(f"Z{chr(65 + i % 26)}ABC  {i * 3.1:.2f}  +{i % 7}.{i % 10}3%  vol {i * 991}" for i in range(40))
@@ -41,6 +43,37 @@ def test_normal_words():
     assert [normal(w) for w in ("c0ntract", "essay31", "3SSAY", "2008", "#Deal")] == ["contract", "essay", "essay", "2008", "deal"]
 
 
+def test_own_words_stay():
+    spam = "cheap watch cheap watch best price\ncheap watch deal watch"
+    for rule in ("***", "____________"):
+        assert "cheap watch" in own_body(plain(f"Hello.\n{rule}\n{spam}\n\nend"))
+    assert own_body(plain("-----Original Message-----\nI wrote this line by hand.")).endswith("by hand.")
+    long = "It was " + "quite a long way and " * 200 + "then we came home."
+    assert words_in_sentences(long) == (len(long.split()), 0)
+    assert own_body(plain("Mine.\n\nThis message is confidential and meant for the named recipients only.")) == "Mine."
+    deep = "\n".join(f'--b{i}\nContent-Type: multipart/mixed; boundary="b{i + 1}"\n' for i in range(30)) + "\n--b30\nContent-Type: text/plain\n\ndown here\n"
+    assert "down here" in own_body(f'{HEAD}Content-Type: multipart/mixed; boundary="b0"\n\n{deep}')
+    assert own_body(f"{HEAD}Content-Type: text/html\n\n<html><p>{'x' * 5000}</p><{'y' * 5000}>end").endswith("end")
+
+
+def test_one_message_in_two_forms_counts_once():
+    both = f'{HEAD}Content-Type: multipart/mixed; boundary="bb"\n\n--bb\nContent-Type: text/plain\n\nSee you at the old bridge on Monday.\n--bb\nContent-Type: text/html\n\n<html><p>See you at the <b>old</b> bridge on Monday.</p></html>\n--bb--\n'
+    assert own_body(both) == "See you at the old bridge on Monday."
+
+
+@pytest.mark.parametrize("mark", ["<style>", "<blockquote>", "<a href=x>", "<", "<!--", "<div "])
+def test_hostile_markup_takes_linear_time(mark):
+    start = time.perf_counter()
+    own_body(f"{HEAD}Content-Type: text/html\n\n<html>" + mark * 40_000)
+    assert time.perf_counter() - start < 5
+
+
+def test_sentences_said_again_count_once():
+    again = "\n".join(f"We found {i} rows that the table has twice." for i in range(9))
+    assert page_tokens(said_once(again))["rows"] == 1
+    assert page_tokens(said_once("best watch, cheap watch. best watch, cheap watch. watch deal!"))["watch"] == 5
+
+
 def test_facts_of_odd_texts():
     for t in (None, "", "   ", "\x00", "x" * 300_000, ("word " * 50_000), HEAD):
         page_facts(t)
@@ -51,6 +84,7 @@ def test_flags(spark):
         (1, plain(STUFFED), True), (2, plain("Let us talk about it soon, please.\n\n" + STUFFED), True), (3, plain(LINKS), True), (4, plain(TAGS), True),
         (5, plain(TABLE), False), (6, plain(ALERT), False), (7, plain(DIGEST), False), (8, plain(PROSE * 3), False), (9, plain("Look at what came today:\n\n> " + STUFFED.replace(", ", "\n> ")), False),
         (10, plain("essay 3ssay ESSAY essay31 cheap essay " * 20), True), (11, None, False), (12, "", False), (13, plain("done"), False), (14, plain(base64.encodebytes(STUFFED.encode()).decode(), "Content-Transfer-Encoding: base64\n"), True),
+        (15, plain(PUNCTUATED), True), (16, plain("Let us talk about it soon, please.\n\n" + PUNCTUATED), True), (17, plain("\n".join(f"We found {i} rows that the table has twice." for i in range(9))), False),
         (14, plain(base64.encodebytes(STUFFED.encode()).decode(), "Content-Transfer-Encoding: base64\n"), True),
     ]
     prose = [(100 + i, plain(PROSE * (1 + i % 4)), False) for i in range(60)]
