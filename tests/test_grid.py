@@ -54,11 +54,16 @@ def test_counter_against_brute_force(spark):
         v = v + rng.randint(0, 9) if rng.random() > 0.1 else float(rng.randint(0, 3))
     rows.append(rows[5])
     got = {r["slot"]: r for r in counter_grid(spark.createDataFrame(rows, SCHEMA), ["feed", "ticker"], require=["ticker"], ties=["ingested_at", "bar_id"]).collect()}
-    inc, cov, unc, resets = {}, {}, {}, {}
+    inc, cov, unc, resets, left, counts = {}, {}, {}, {}, {}, {}
+    for r in rows:
+        if r[2] < at(7, 16, 0):
+            counts[r[2].timestamp() // 300 * 300] = counts.get(r[2].timestamp() // 300 * 300, 0) + 1
     seen = sorted({(r[2], r[3]) for r in rows if r[2] < at(7, 16, 0)})
+    total = 0.0
     for (t0, v0), (t1, v1) in zip(seen, seen[1:]):
         a, b = t0.timestamp(), t1.timestamp()
         d = v1 - v0 if v1 >= v0 else v1
+        total += d
         c = a // 300 * 300
         while c < b:
             over = min(c + 300, b) - max(c, a)
@@ -68,12 +73,31 @@ def test_counter_against_brute_force(spark):
                 inc[c] = inc.get(c, 0) + d * over / (b - a)
                 cov[c] = cov.get(c, 0) + over
             c += 300
+        if b - a > 900:
+            left[b // 300 * 300] = left.get(b // 300 * 300, 0) + d
         if v1 < v0:
-            resets[(b - 1e-6) // 300 * 300] = resets.get((b - 1e-6) // 300 * 300, 0) + 1
-    assert set(got) == set(inc) | set(unc)
+            resets[b // 300 * 300] = resets.get(b // 300 * 300, 0) + 1
+    assert set(got) == set(range(int(min(counts)), int(max(counts)) + 1, 300))
     for c, r in got.items():
         assert r["increase"] == pytest.approx(inc.get(c, 0.0)) and r["covered_s"] == pytest.approx(cov.get(c, 0)) and r["uncovered_s"] == pytest.approx(unc.get(c, 0))
-        assert r["resets"] == resets.get(c, 0)
+        assert (r["resets"], r["n_readings"]) == (resets.get(c, 0), counts.get(c, 0)) and r["unplaced"] == pytest.approx(left.get(c, 0.0))
+    assert sum(r["increase"] + r["unplaced"] for r in got.values()) == pytest.approx(total)
+
+
+def counter(spark, rows, **k):
+    return counter_grid(spark.createDataFrame(rows, SCHEMA), ["feed", "ticker"], require=["ticker"], ties=["ingested_at", "bar_id"], **k)
+
+
+def test_no_increment_is_lost(spark):
+    """Over a long gap, over the night, over a NaN reading; the cells are those of the regular grid."""
+    rows = [row(1, "A", at(7, 9, 30), 10.0), row(2, "A", at(7, 9, 50), 50.0), row(3, "A", at(7, 9, 51), 51.0), row(4, "A", at(10, 9, 40), 60.0), row(5, "A", at(10, 9, 44), float("nan")), row(6, "A", at(10, 9, 48), 64.0), row(7, "A", at(11, 10, 0), 4.0)]
+    got = counter(spark, rows).collect()
+    by = {r["slot"]: r for r in got}
+    assert sum(r["increase"] + r["unplaced"] for r in got) == pytest.approx(41 + 9 + 4 + 4) and sum(r["resets"] for r in got) == 1
+    assert by[int(at(7, 9, 50).timestamp())]["unplaced"] == 40 and by[int(at(10, 9, 40).timestamp())]["unplaced"] == 9 and by[int(at(10, 9, 40).timestamp())]["n_readings"] == 2
+    assert by[int(at(10, 9, 40).timestamp())]["increase"] == pytest.approx(2.5) and by[int(at(10, 9, 45).timestamp())]["increase"] == pytest.approx(1.5)
+    same = [(r["slot"], r["n_readings"]) for r in grid(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(same) == sorted((r["slot"], r["n_readings"]) for r in got) == sorted((r["slot"], r["n_readings"]) for r in counter(spark, rows, carry=False).collect())
 
 
 def test_hot_series_stays_spread(spark):

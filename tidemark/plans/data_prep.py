@@ -17,8 +17,12 @@ def _grid(spark: SparkSession, folder: str) -> DataFrame:
     return regular_grid(table(spark, folder, "qqq_1m"), ["feed", "ticker"], require=["ticker"], ties=["ingested_at", "bar_id"])
 
 
+def _counter(spark: SparkSession, folder: str, carry: bool) -> DataFrame:
+    return counter_grid(table(spark, folder, "qqq_1m"), ["feed", "ticker"], require=["ticker"], ties=["ingested_at", "bar_id"], carry=carry)
+
+
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return empty_cells(_grid(spark, folder)).select("feed", "ticker", "slot")
+    return empty_cells(_counter(spark, folder, carry=False)).select("feed", "ticker", "slot")
 
 
 def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,9 +30,9 @@ def p1_grid(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_counter(spark: SparkSession, folder: str) -> DataFrame:
-    g = counter_grid(table(spark, folder, "qqq_1m"), ["feed", "ticker"], require=["ticker"], ties=["ingested_at", "bar_id"])
+    g = _counter(spark, folder, carry=True)
     # shares of four-digit increments often end in a tie at any digit; the offset moves them off it in both engines
-    return g.select("feed", "ticker", "slot", F.round(F.col("increase") + 3.14e-8, 6).alias("increase"), "resets", F.round("covered_s", 3).alias("covered_s"), F.round("uncovered_s", 3).alias("uncovered_s"))
+    return g.select("feed", "ticker", "slot", "n_readings", *[F.round(F.col(c) + 3.14e-8, 6).alias(c) for c in ("increase", "unplaced")], "resets", F.round("covered_s", 3).alias("covered_s"), F.round("uncovered_s", 3).alias("uncovered_s"))
 
 
 def p2_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,14 +109,21 @@ found AS (SELECT f.origin_id, arg_max(p.param_id, row(p.date, p.known_at, -p.par
   FROM forecast_v21 f JOIN ok p ON f.source = p.source AND f.model = p.model AND f.dist = p.dist AND p.date <= f.date AND p.known_at <= f.asked_at GROUP BY f.origin_id)"""
 
 _P1_COUNTER = f"""WITH {_P1_BARS},
-one AS (SELECT feed, ticker, sess, t, arg_max(close, row(ingested_at, bar_id, close)) AS v FROM rth WHERE NOT isnan(close) GROUP BY ALL),
-spans AS (SELECT *, lag(t) OVER w AS t0, lag(v) OVER w AS v0 FROM one WINDOW w AS (PARTITION BY feed, ticker, sess ORDER BY t)),
-parts AS (SELECT *, unnest(range(t0 // 300000000, (t - 1) // 300000000 + 1)) AS c, CASE WHEN v < v0 THEN v ELSE v - v0 END AS inc FROM spans WHERE t0 IS NOT NULL),
-cut AS (SELECT *, least((c + 1) * 300000000, t) - greatest(c * 300000000, t0) AS over FROM parts)
-SELECT feed, ticker, c * 300 AS slot, round(sum(CASE WHEN t - t0 <= 900000000 THEN inc * (over / (t - t0)) ELSE 0 END) + 3.14e-8, 6) AS increase,
-  CAST(sum(CASE WHEN v < v0 AND c = (t - 1) // 300000000 THEN 1 ELSE 0 END) AS BIGINT) AS resets,
-  round(sum(CASE WHEN t - t0 <= 900000000 THEN over ELSE 0 END) / 1e6, 3) AS covered_s, round(sum(CASE WHEN t - t0 > 900000000 THEN over ELSE 0 END) / 1e6, 3) AS uncovered_s
-FROM cut GROUP BY feed, ticker, sess, c"""
+one AS (SELECT feed, ticker, sess, t, count(*) AS n, arg_max(close, row(ingested_at, bar_id, close)) FILTER (WHERE NOT isnan(close)) AS v FROM rth GROUP BY ALL),
+held AS (SELECT feed, ticker, sess, t, v, lag(t) OVER w AS t0, lag(v) OVER w AS v0, row_number() OVER w AS i, lag(v) OVER s AS vs FROM one WHERE v IS NOT NULL
+  WINDOW w AS (PARTITION BY feed, ticker, sess ORDER BY t), s AS (PARTITION BY feed, ticker ORDER BY t)),
+parts AS (SELECT *, unnest(range(t0 // 300000000, t // 300000000 + 1)) AS c, CASE WHEN v < v0 THEN v ELSE v - v0 END AS inc FROM held WHERE t0 IS NOT NULL),
+cut AS (SELECT *, greatest(least((c + 1) * 300000000, t) - greatest(c * 300000000, t0), 0) AS over FROM parts),
+spread AS (SELECT feed, ticker, sess, c, sum(CASE WHEN t - t0 <= 900000000 THEN inc * (over / (t - t0)) ELSE 0 END) AS increase, sum(CASE WHEN t - t0 > 900000000 AND c = t // 300000000 THEN inc ELSE 0 END) AS unplaced,
+  sum(CASE WHEN v < v0 AND c = t // 300000000 THEN 1 ELSE 0 END) AS resets, sum(CASE WHEN t - t0 <= 900000000 THEN over ELSE 0 END) AS covered, sum(CASE WHEN t - t0 > 900000000 THEN over ELSE 0 END) AS uncovered FROM cut GROUP BY ALL),
+night AS (SELECT feed, ticker, sess, t // 300000000 AS c, CASE WHEN v < vs THEN v ELSE v - vs END AS inc, CASE WHEN v < vs THEN 1 ELSE 0 END AS fell FROM held WHERE i = 1 AND vs IS NOT NULL),
+counts AS (SELECT feed, ticker, sess, t // 300000000 AS c, sum(n) AS n FROM one GROUP BY ALL),
+axis AS (SELECT feed, ticker, sess, unnest(range(min(c), max(c) + 1)) AS c FROM counts GROUP BY feed, ticker, sess)
+SELECT a.feed, a.ticker, a.c * 300 AS slot, CAST(coalesce(k.n, 0) AS BIGINT) AS n_readings, round(coalesce(p.increase, 0) + 3.14e-8, 6) AS increase, round(coalesce(p.unplaced, 0) + coalesce(g.inc, 0) + 3.14e-8, 6) AS unplaced,
+  CAST(coalesce(p.resets, 0) + coalesce(g.fell, 0) AS BIGINT) AS resets, round(coalesce(p.covered, 0) / 1e6, 3) AS covered_s, round(coalesce(p.uncovered, 0) / 1e6, 3) AS uncovered_s
+FROM axis a LEFT JOIN counts k ON a.feed IS NOT DISTINCT FROM k.feed AND a.ticker = k.ticker AND a.sess = k.sess AND a.c = k.c
+  LEFT JOIN spread p ON a.feed IS NOT DISTINCT FROM p.feed AND a.ticker = p.ticker AND a.sess = p.sess AND a.c = p.c
+  LEFT JOIN night g ON a.feed IS NOT DISTINCT FROM g.feed AND a.ticker = g.ticker AND a.sess = g.sess AND a.c = g.c"""
 
 ORACLE = {
     "p1_counter": _P1_COUNTER,
