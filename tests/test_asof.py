@@ -44,6 +44,26 @@ def test_against_brute_force(spark, rows, seed):
     assert run(spark, versions, events, rows) == brute(versions, events)
 
 
+@pytest.mark.parametrize("layout", [500_000, 0])
+def test_hot_entity_and_hot_date(spark, monkeypatch, layout):
+    """All rows belong to one entity and half its versions to one date; some events repeat, some have one id and other moments."""
+    import tidemark.operators.asof as asof
+
+    monkeypatch.setattr(asof, "LAYOUT", layout)
+    rng = random.Random(5)
+    versions = [(i, DAY + dt.timedelta(30 if i % 2 else rng.randint(0, 60)), "hot", "m", T0 + dt.timedelta(hours=rng.randint(0, 2000)), 1.0, "x") for i in range(1500)]
+    events = [(i, DAY + dt.timedelta(rng.randint(-2, 70)), "hot", "m", T0 + dt.timedelta(hours=rng.randint(-5, 2100)), 1) for i in range(900)]
+    events += [(900 + i, DAY, None, "m", T0, 1) for i in range(50)]
+    assert run(spark, versions, events, 100) == brute(versions, events)
+    twice = [(1, DAY + dt.timedelta(40), "hot", "m", T0 + dt.timedelta(hours=1500), 1)] * 3 + [(1, DAY - dt.timedelta(9), "hot", "m", T0, 1)]
+    got = sorted((r["param_id"] for r in known_at_event(
+        spark.createDataFrame(twice, E_), spark.createDataFrame(versions, V), entity=["source", "model"], event_id="origin_id", event_valid="date", event_asked="asked_at",
+        version_id="param_id", version_valid="date", version_known="known_at", required=["alpha"], rows=100,
+    ).collect()), key=str)
+    want = brute(versions, twice[:1])[1]
+    assert got == sorted([want, want, want, None], key=str)
+
+
 def test_empty(spark):
     e = [(1, DAY, "a", "m", T0, 1)]
     assert run(spark, [], e, 100) == {1: None}
