@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from tidemark.operators.instants import fit_orders, normalise_instants
+from tidemark.operators.instants import FORMATS, fit_formats, normalise_instants
 
 FEEDS = [("ny", "America/New_York", "mdy"), ("ldn", "Europe/London", "dmy"), ("tok", "Asia/Tokyo", "ymd"), ("lhi", "Australia/Lord_Howe", "dmy"), ("bad", "Mars/Base", "dmy"), ("free", "UTC", None), ("nul", None, None)]
 UTC = dt.timezone.utc
@@ -49,9 +49,23 @@ def test_undeclared_orders_are_estimated_or_marked(spark):
 
 
 def test_em_weights(spark):
-    m = spark.createDataFrame([("s", None, 0b011, 50), ("s", None, 0b001, 30), ("s", None, 0b010, 0), ("t", "mdy", 0b001, 9)], "source string, declared string, mask int, n long")
-    w = {r["source"]: r for r in fit_orders(m).collect()}
-    assert w["s"]["w_dmy"] > 0.97 and w["t"]["w_mdy"] == pytest.approx(1.0)
+    i = {f: 1 << k for k, f in enumerate(FORMATS)}
+    both = i["num_dmy"] | i["num_mdy"]
+    m = spark.createDataFrame([("s", None, both, 50), ("s", None, i["num_dmy"], 30), ("s", None, i["ymd"], 20), ("t", "mdy", i["num_dmy"], 9), ("u", "mdy", both, 900), ("u", "mdy", i["num_dmy"], 20)], "source string, declared string, mask int, n long")
+    w = {r["source"]: r for r in fit_formats(m).collect()}
+    assert w["s"]["w_num_dmy"] > 0.75 and 0.15 < w["s"]["w_ymd"] < 0.25 and w["s"]["w_num_mdy"] < 0.01
+    assert w["u"]["w_num_mdy"] > 0.98 and w["t"]["w_num_dmy"] > 0.3
+
+
+def test_a_wrong_declaration_is_overruled_or_marked(spark):
+    """A feed declared mdy whose dates can only be dmy; another with a few impossible dates keeps its declaration."""
+    feeds = spark.createDataFrame([("wrong", "UTC", "mdy"), ("right", "UTC", "mdy")], "feed string, zone string, date_order string")
+    rows = [(i, "wrong", f"{13 + i % 15:02d}/0{1 + i % 9}/2020 10:00") for i in range(300)] + [(900, "wrong", "04/05/2020 10:00")]
+    rows += [(1000 + i, "right", f"0{1 + i % 9}/{1 + i % 28:02d}/2020 10:00") for i in range(300)] + [(2000 + i, "right", "13/05/2020 10:00") for i in range(9)]
+    got = {r["rec_id"]: r for r in normalise_instants(spark.createDataFrame(rows, "rec_id long, feed string, timestamp string"), feeds).collect()}
+    assert all(got[i]["status"] == "ok" and got[i]["ts_us"] == us(2020, 1 + i % 9, 13 + i % 15, 10) for i in range(300))
+    assert got[900]["status"] == "ambiguous"
+    assert all(got[1000 + i]["ts_us"] == us(2020, 1 + i % 9, 1 + i % 28, 10) for i in range(300)) and all(got[2000 + i]["status"] == "unreadable" for i in range(9))
 
 
 def test_empty(spark):
