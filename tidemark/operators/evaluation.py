@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.stats import EULER, auto_lag, average_rank, norm_cdf
+from tidemark.functions.stats import EULER, auto_lag, average_rank, norm_cdf, two_sided
 
 
 def qlike(rv: Column, v: Column) -> Column:
@@ -39,20 +39,27 @@ def losses(frame: DataFrame) -> DataFrame:
     return frame.withColumn("qlike", qlike(F.col("rv"), F.col("v"))).withColumn("mse", mse(F.col("rv"), F.col("v")))
 
 
-def hac_mean(d: DataFrame, keys: list[str], col: str, order: str = "date", max_lag: int = 40) -> DataFrame:
-    """Per key: n, mean, lag (automatic), Newey-West variance of the mean, first autocorrelation. The lagged products of all lags are
-    summed in one aggregate, each read from the same ordered partition."""
+def hac_mean(d: DataFrame, keys: list[str], col: str, order: str = "date") -> DataFrame:
+    """Per key: n, mean, lag (automatic), Newey-West variance of the mean, first autocorrelation, for any bandwidth.
+
+    With Bartlett weights the variance is the mean square of moving sums: (1 / (L + 1)) times the sum over t of (S(t) - S(t - L - 1))^2, S
+    the running sum of the centred values. Each running sum is sent to the two places it is used, t and t + L + 1, so one window and
+    one aggregate do, whatever the lag."""
     w = Window.partitionBy(*keys)
-    x = d.withColumn("n", F.count(col).over(w)).withColumn("mean", F.avg(col).over(w)).withColumn("c", F.col(col) - F.col("mean")).withColumn("lag", auto_lag(F.col("n")))
+    x = d.withColumn("n", F.count(col).over(w)).withColumn("mean", F.avg(col).over(w)).withColumn("_h_c", F.coalesce(F.col(col) - F.col("mean"), F.lit(0.0))).withColumn("lag", auto_lag(F.col("n")))
     o = w.orderBy(order)
-    terms = [F.col("c") * F.lag("c", k).over(o) * F.when(F.col("lag") >= k, 1 - k / (F.col("lag") + 1.0)).otherwise(0.0) for k in range(1, max_lag + 1)]
-    x = x.withColumn("c1", F.col("c") * F.lag("c", 1).over(o))
-    acc = F.lit(0.0)
-    for t in terms:
-        acc = acc + F.coalesce(t, F.lit(0.0))
-    x = x.withColumn("cross", acc)
-    g = x.groupBy(*keys).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("lag").alias("lag"), F.sum(F.col("c") * F.col("c")).alias("g0"), F.sum("cross").alias("gk"), F.sum("c1").alias("g1"))
-    return g.select(*keys, "n", "mean", "lag", ((F.col("g0") + 2 * F.col("gk")) / F.col("n") / F.col("n")).alias("hac_var"), (F.col("g1") / F.when(F.col("g0") > 0, F.col("g0"))).alias("acf1"))
+    x = x.withColumn("_h_i", F.row_number().over(o)).withColumn("_h_s", F.sum("_h_c").over(o.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_h_c1", F.col("_h_c") * F.lag("_h_c", 1).over(o))
+    both = F.array(F.struct(F.col("_h_i").alias("at"), F.col("_h_s").alias("head"), F.lit(None).cast("double").alias("tail")), F.struct((F.col("_h_i") + F.col("lag") + 1).alias("at"), F.lit(None).cast("double").alias("head"), F.col("_h_s").alias("tail")))
+    place = x.select(*keys, "n", "mean", "lag", "_h_c", "_h_c1", F.posexplode(both).alias("first", "z"))
+    # past the end the running sum stays at its last value, the sum of all centred values, which is zero
+    at = place.groupBy(*keys, "z.at").agg(
+        F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("lag").alias("lag"), F.coalesce(F.max("z.head"), F.lit(0.0)).alias("head"), F.coalesce(F.max("z.tail"), F.lit(0.0)).alias("tail"),
+        F.sum(F.when(F.col("first") == 0, F.col("_h_c") * F.col("_h_c"))).alias("g0"), F.sum(F.when(F.col("first") == 0, F.col("_h_c1"))).alias("g1"),
+    )
+    # sums that begin past the end belong to no window
+    square = F.when(F.col("at") <= F.col("n") + F.col("lag"), F.pow(F.col("head") - F.col("tail"), F.lit(2.0))).otherwise(0.0)
+    g = at.groupBy(*keys).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("lag").alias("lag"), F.sum("g0").alias("g0"), F.sum("g1").alias("g1"), F.sum(square).alias("q"))
+    return g.select(*keys, "n", "mean", "lag", (F.col("q") / (F.col("lag") + 1) / F.col("n") / F.col("n")).alias("hac_var"), (F.col("g1") / F.when(F.col("g0") > 0, F.col("g0"))).alias("acf1"))
 
 
 def long_losses(l: DataFrame) -> DataFrame:
@@ -71,12 +78,13 @@ def loss_table(l: DataFrame) -> DataFrame:
 
 
 def diebold_mariano(l: DataFrame) -> DataFrame:
-    """All pairs of models a < b by name and both losses: statistic, lag, autocorrelation, mean difference."""
+    """All pairs of models a < b by name and both losses: statistic, two-sided p-value, lag, autocorrelation, mean difference."""
     x = long_losses(l)
     a, b = x.select("date", "loss", F.col("model").alias("a"), F.col("value").alias("va")), x.select(F.col("date").alias("d2"), F.col("loss").alias("l2"), F.col("model").alias("b"), F.col("value").alias("vb"))
     pairs = a.join(b, (F.col("date") == F.col("d2")) & (F.col("loss") == F.col("l2")) & (F.col("a") < F.col("b"))).select("date", "loss", "a", "b", (F.col("va") - F.col("vb")).alias("d"))
     h = hac_mean(pairs, ["loss", "a", "b"], "d")
-    return h.select("loss", "a", "b", (F.col("mean") / F.sqrt(F.when(F.col("hac_var") > 0, F.col("hac_var")))).alias("dm"), "lag", "acf1", F.col("mean").alias("mean_diff"), "n")
+    h = h.withColumn("dm", F.col("mean") / F.sqrt(F.when(F.col("hac_var") > 0, F.col("hac_var"))))
+    return h.select("loss", "a", "b", "dm", two_sided("dm").alias("p"), "lag", "acf1", F.col("mean").alias("mean_diff"), "n")
 
 
 def loss_concentration(l: DataFrame, crises: list[tuple[str, str]]) -> DataFrame:
@@ -115,7 +123,7 @@ def mincer_zarnowitz(frame: DataFrame, lag: int = 3) -> DataFrame:
     d = F.col("v11") * F.col("v22") - F.col("v12") * F.col("v12")
     u, t = F.col("a"), F.col("b") - 1
     wald = (u * u * F.col("v22") - 2 * u * t * F.col("v12") + t * t * F.col("v11")) / d
-    return g.withColumn("wald", wald).select("model", "a", "b", "r2", F.sqrt("v11").alias("se_a"), F.sqrt("v22").alias("se_b"), "wald", F.exp(-F.col("wald") / 2).alias("wald_p"), "n")
+    return g.withColumn("wald", wald).select("model", F.lit(lag).alias("lag"), "a", "b", "r2", F.sqrt("v11").alias("se_a"), F.sqrt("v22").alias("se_b"), "wald", F.exp(-F.col("wald") / 2).alias("wald_p"), "n")
 
 
 def spearman(wide: DataFrame, cols: list[str]) -> DataFrame:
@@ -128,8 +136,8 @@ def spearman(wide: DataFrame, cols: list[str]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(n.split("|")[0]).alias("a"), F.lit(n.split("|")[1]).alias("b"), F.col(f"`{n}`").alias("rho")) for n in one.columns])).alias("z")).select("z.*")
 
 
-def ledoit_wolf(bt: DataFrame, max_lag: int = 40) -> DataFrame:
-    """Sharpe-difference test for all pairs of strategies i < j on daily excess returns: difference, z, lag. The delta method turns each day
+def ledoit_wolf(bt: DataFrame) -> DataFrame:
+    """Sharpe-difference test for all pairs of strategies i < j on daily excess returns: difference, z, two-sided p, lag. The delta method turns each day
     into one influence value, so the 4x4 long-run covariance is the HAC variance of a single series."""
     x = bt.select("date", "strategy", (F.col("ret") - F.col("cash_ret")).alias("e"))
     w = Window.partitionBy("strategy")
@@ -137,8 +145,9 @@ def ledoit_wolf(bt: DataFrame, max_lag: int = 40) -> DataFrame:
     x = x.withColumn("sr", F.col("m") / F.col("s")).withColumn("f", F.col("q") / F.pow("s", F.lit(3.0)) * F.col("e") - F.col("m") / (2 * F.pow("s", F.lit(3.0))) * F.col("e") * F.col("e"))
     i, j = x.select("date", F.col("strategy").alias("i"), F.col("sr").alias("sri"), F.col("f").alias("fi")), x.select(F.col("date").alias("d2"), F.col("strategy").alias("j"), F.col("sr").alias("srj"), F.col("f").alias("fj"))
     p = i.join(j, (F.col("date") == F.col("d2")) & (F.col("i") < F.col("j"))).select("date", "i", "j", (F.col("sri") - F.col("srj")).alias("diff"), (F.col("fi") - F.col("fj")).alias("d"))
-    h = hac_mean(p, ["i", "j"], "d", max_lag=max_lag)
-    return h.join(p.groupBy("i", "j").agg(F.max("diff").alias("diff")), ["i", "j"]).select("i", "j", "diff", F.when(F.col("hac_var") > 0, F.col("diff") / F.sqrt("hac_var")).when(F.col("diff") == 0, 0.0).alias("z"), "lag")
+    h = hac_mean(p, ["i", "j"], "d")
+    h = h.join(p.groupBy("i", "j").agg(F.max("diff").alias("diff")), ["i", "j"]).withColumn("z", F.when(F.col("hac_var") > 0, F.col("diff") / F.sqrt("hac_var")).when(F.col("diff") == 0, 0.0))
+    return h.select("i", "j", "diff", "z", two_sided("z").alias("p"), "lag")
 
 
 def deflated_sharpe(bt: DataFrame, n_trials: int) -> DataFrame:

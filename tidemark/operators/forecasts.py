@@ -5,6 +5,8 @@ Inputs are daily measures keyed by symbol. Every value at a date uses rows up to
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,15 +24,22 @@ def _upto(keys: list[str] | None = None):
     return _w(keys).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def ewma(rets: DataFrame, lam: float = 0.94, col: str = "log_ret", name: str = "ewma") -> DataFrame:
+def ewma(rets: DataFrame, lam: float = 0.94, col: str = "log_ret", name: str = "ewma", chunk: int = 256) -> DataFrame:
     """Next day's variance: the recursion s <- lam s + (1 - lam) r^2 started at the mean square of all returns so far. In closed form
-    lam^n mean + (1 - lam) sum lam^(n-i) r_i^2, with the sum kept as a running sum of scaled squares (for up to 10,000 rows a symbol)."""
-    r = rets.where(F.col(col).isNotNull())
-    n = F.row_number().over(_w())
-    r = r.withColumn("i", n).withColumn("q", F.col(col) * F.col(col))
-    scaled = F.sum(F.col("q") * F.pow(F.lit(1 / lam), F.col("i"))).over(_upto())
-    start = F.avg("q").over(_upto())
-    return r.withColumn(name, F.pow(F.lit(lam), F.col("i")) * start + (1 - lam) * F.pow(F.lit(lam), F.col("i")) * scaled).drop("q", "i")
+    lam^n mean + (1 - lam) L(n) with L(n) = sum lam^(n-i) r_i^2, for histories of any length: L is a sum of scaled squares within chunks
+    of `chunk` rows plus what earlier chunks carry over, whose weights fall by lam^chunk each (those below 1e-18 add nothing to a double)."""
+    r = rets.where(F.col(col).isNotNull()).withColumn("i", F.row_number().over(_w())).withColumn("q", F.col(col) * F.col(col))
+    r = r.withColumn("chunk", F.floor((F.col("i") - 1) / chunk).cast("int")).withColumn("j", F.col("i") - 1 - F.col("chunk") * chunk)
+    inside = Window.partitionBy("symbol", "chunk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    # one square of a chunk is at most lam^-chunk times another's weight, which a double holds
+    r = r.withColumn("part", F.pow(F.lit(lam), F.col("j")) * F.sum(F.col("q") * F.pow(F.lit(1 / lam), F.col("j"))).over(inside)).withColumn("mean", F.avg("q").over(_upto()))
+    reach = max(1, math.ceil(-41.5 / (chunk * math.log(lam))))
+    ends = r.groupBy("symbol", "chunk").agg(F.max_by("part", "j").alias("end"))
+    back = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(-reach, -1)
+    ends = ends.select("symbol", "chunk", F.aggregate(F.collect_list("end").over(back), F.lit(0.0), lambda acc, x: acc * lam**chunk + x).alias("carried"))
+    r = r.join(ends, ["symbol", "chunk"])
+    total = F.col("part") + F.pow(F.lit(lam), F.col("j") + 1) * F.col("carried")
+    return r.withColumn(name, F.pow(F.lit(lam), F.col("i")) * F.col("mean") + (1 - lam) * total).drop("q", "i", "chunk", "j", "part", "mean", "carried")
 
 
 def har_pairs(m: DataFrame, h: int = 21) -> DataFrame:
@@ -79,15 +88,12 @@ def har_forecast(m: DataFrame, h: int = 21, least: int = 250) -> DataFrame:
 
 
 def variogram(m: DataFrame, max_lag: int = 40) -> DataFrame:
-    """Expanding mean square increment of log variance by lag (symbol, date, lag, m2)."""
-    x = m.where(F.col("log_rv").isNotNull()).select("symbol", "date", "log_rv", F.row_number().over(_w()).alias("i"))
-    lags = x.select("symbol", "date", "log_rv", F.col("i"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"))
-    # the value `lag` rows ago by an equi-join on the row number, not by a window for each lag
-    past = x.select(F.col("symbol").alias("s"), F.col("i").alias("j"), F.col("log_rv").alias("past"))
-    d = lags.join(past, (F.col("symbol") == F.col("s")) & (F.col("i") - F.col("lag") == F.col("j")))
-    q = F.col("log_rv") - F.col("past")
+    """Expanding mean square increment of log variance by lag (symbol, date, lag, m2). The last `max_lag` values come along in one window."""
+    tail = F.collect_list("log_rv").over(_w().rowsBetween(-max_lag, -1))
+    x = m.where(F.col("log_rv").isNotNull()).select("symbol", "date", "log_rv", F.reverse(tail).alias("past"))
+    d = x.select("symbol", "date", F.posexplode(F.transform("past", lambda p: F.pow(F.col("log_rv") - p, F.lit(2.0)))).alias("k", "q"))
     w = Window.partitionBy("symbol", "lag").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    return d.select("symbol", "date", "lag", F.avg(q * q).over(w).alias("m2"))
+    return d.select("symbol", "date", (F.col("k") + 1).alias("lag"), "q").select("symbol", "date", "lag", F.avg("q").over(w).alias("m2"))
 
 
 def hurst(vg: DataFrame, max_lag: int = 40) -> DataFrame:

@@ -119,8 +119,11 @@ def read_texts(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
         us = F.expr(f"try_cast(floor(try_cast(s AS decimal(38, 12)) * {US // per_s}) AS bigint)") if per_s <= US else F.expr(f"try_cast(floor(try_cast(s AS decimal(38, 12)) / {per_s // US}) AS bigint)")
         by_unit = F.when(inside, us).otherwise(by_unit)
         unit = F.when(inside, name).otherwise(unit)
+    # a higher-order function keeps the step out of whole-stage code: as one method this much would pass the size up to which the JVM
+    # compiles, while a projection of its own is split into methods it does compile
+    is_null = F.exists(F.array("s"), lambda x: x.isNull())
     return base.select(
-        "key", "source", F.col("s").isNull().alias("is_null"), by_unit.alias("num_us"), F.coalesce(unit, kind).alias("kind"), tod.alias("tod"), fixed.alias("fixed"),
+        "key", "source", is_null.alias("is_null"), by_unit.alias("num_us"), F.coalesce(unit, kind).alias("kind"), tod.alias("tod"), fixed.alias("fixed"),
         F.when(kind.isin("num", "two"), _date(full, b, a)).alias("o_dmy"), F.when(kind.isin("num", "two"), _date(full, a, b)).alias("o_mdy"), F.when((kind == "two") & (F.length(a) == 2), _date(F.concat(F.lit("20"), a), b, c)).alias("o_ymd"),
         (zone != "").alias("zoned"), zone_min.alias("zone_min"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,11 +136,11 @@ C |= {
     "conc": "SELECT *, floor(rank() OVER (PARTITION BY loss ORDER BY full_mean) + (count(*) OVER (PARTITION BY loss, full_mean) - 1) / 2e0) AS rank_full, floor(rank() OVER (PARTITION BY loss ORDER BY calm_mean) + (count(*) OVER (PARTITION BY loss, calm_mean) - 1) / 2e0) AS rank_calm FROM conc1",
     "mzf": "SELECT model, regr_intercept(rv, v) AS a, regr_slope(rv, v) AS b, regr_r2(rv, v) AS r2, count(*) AS n FROM frame GROUP BY model",
     "mze": "SELECT f.model, f.date, f.v, z.a, z.b, z.r2, z.n, f.rv - z.a - z.b * f.v AS s1, (f.rv - z.a - z.b * f.v) * f.v AS s2, row_number() OVER (PARTITION BY f.model ORDER BY f.date) AS i FROM frame f JOIN mzf z ON f.model = z.model",
-    "mzs": """SELECT p.model, sum(w * p.s1 * q.s1) AS s11, sum(w * p.s1 * q.s2) AS s12, sum(w * p.s2 * q.s2) AS s22 FROM (SELECT p0.*, unnest(range(-3, 4)) AS k FROM mze p0) p JOIN mze q ON p.model = q.model AND q.i = p.i + p.k, LATERAL (SELECT 1 - abs(p.k) / 4e0 AS w) GROUP BY p.model""",
+    "mzs": """SELECT p.model, p.lag, sum(w * p.s1 * q.s1) AS s11, sum(w * p.s1 * q.s2) AS s12, sum(w * p.s2 * q.s2) AS s22 FROM (SELECT p0.*, lags.lag, unnest(range(-lags.lag, lags.lag + 1)) AS k FROM mze p0, (SELECT unnest([3, 5, 8]) AS lag) lags) p JOIN mze q ON p.model = q.model AND q.i = p.i + p.k, LATERAL (SELECT 1 - abs(p.k) / (p.lag + 1e0) AS w) GROUP BY p.model, p.lag""",
     "mzd": "SELECT e.model, max(a) AS a, max(b) AS b, max(r2) AS r2, max(n) AS n, max(n) * sum(v * v) - sum(v) * sum(v) AS det, sum(v) AS sv, sum(v * v) AS svv FROM mze e GROUP BY e.model",
-    "mzv0": "SELECT d.*, s.s11, s.s12, s.s22, svv / det AS i11, -sv / det AS i12, n / det AS i22 FROM mzd d JOIN mzs s ON d.model = s.model",
+    "mzv0": "SELECT d.*, s.lag, s.s11, s.s12, s.s22, svv / det AS i11, -sv / det AS i12, n / det AS i22 FROM mzd d JOIN mzs s ON d.model = s.model",
     "mzv": """SELECT *, i11 * (s11 * i11 + s12 * i12) + i12 * (s12 * i11 + s22 * i12) AS v11, i11 * (s11 * i12 + s12 * i22) + i12 * (s12 * i12 + s22 * i22) AS v12, i12 * (s11 * i12 + s12 * i22) + i22 * (s12 * i12 + s22 * i22) AS v22 FROM mzv0""",
-    "mz": "SELECT model, a, b, r2, sqrt(v11) AS se_a, sqrt(v22) AS se_b, (a * a * v22 - 2 * a * (b - 1) * v12 + (b - 1) * (b - 1) * v11) / (v11 * v22 - v12 * v12) AS wald, n FROM mzv",
+    "mz": "SELECT *, exp(-wald / 2) AS wald_p FROM (SELECT model, lag, a, b, r2, sqrt(v11) AS se_a, sqrt(v22) AS se_b, (a * a * v22 - 2 * a * (b - 1) * v12 + (b - 1) * (b - 1) * v11) / (v11 * v22 - v12 * v12) AS wald, n FROM mzv)",
     "lw0": "SELECT date, strategy, ex, avg(ex) OVER p AS m, avg(ex * ex) OVER p AS q FROM roll WINDOW p AS (PARTITION BY strategy)",
     "lw1": "SELECT date, strategy, m / sqrt(q - m * m) AS sr, q / pow(sqrt(q - m * m), 3) * ex - m / (2 * pow(sqrt(q - m * m), 3)) * ex * ex AS f FROM lw0",
     "lw2": "SELECT x.date, x.strategy AS i, y.strategy AS j, x.sr - y.sr AS diff, x.f - y.f AS d FROM lw1 x JOIN lw1 y ON x.date = y.date AND x.strategy < y.strategy",
@@ -289,12 +291,20 @@ add("day_gaps", "date:d gap:i", "(SELECT date, coalesce(date_diff('day', lag(dat
 add("asof_rate", "date:d rate_pct:11", "(SELECT b.date, x.rate_pct FROM (SELECT date FROM bars WHERE symbol = 'TRADED') b ASOF LEFT JOIN rates x ON b.date >= x.date)",
     lambda s, d: B.asof_rate(_traded(_bars(s, d)).select("date"), market.rates(s, d), "date", "rate_pct"))
 def _governing(s: SparkSession, d: str) -> DataFrame:
+    """Parameters in force by union and last value: an origin meets one row, not every version of its entity."""
     p = table(s, d, "param_paths").where(F.col("date").isNotNull() & F.col("source").isNotNull() & F.col("sigma2_next").isNotNull()).groupBy("source", "model", "dist", "date").agg(F.max_by("sigma2_next", "param_id").alias("sigma2_next"))
-    w = F.lead("date").over(M.Window.partitionBy("source", "model", "dist").orderBy("date"))
-    p = p.withColumn("upto", w)
-    f = table(s, d, "forecast_v21").select("origin_id", F.col("date").alias("day"), F.col("source").alias("fs"), F.col("model").alias("fm"), F.col("dist").alias("fd"))
-    on = (F.col("fs") == F.col("source")) & (F.col("fm") == F.col("model")) & (F.col("fd") == F.col("dist")) & (F.col("day") >= F.col("date")) & (F.col("upto").isNull() | (F.col("day") < F.col("upto")))
-    return f.join(p, on).select("origin_id", F.col("date").alias("governing"), "sigma2_next")
+    p = p.select("source", "model", "dist", F.col("date").alias("at"), F.lit(0).alias("side"), F.struct(F.col("date").alias("governing"), "sigma2_next").alias("row"), F.lit(None).cast("long").alias("origin_id"))
+    f = table(s, d, "forecast_v21").where(F.col("source").isNotNull() & F.col("model").isNotNull() & F.col("dist").isNotNull() & F.col("date").isNotNull())
+    f = f.select("source", "model", "dist", F.col("date").alias("at"), F.lit(1).alias("side"), F.lit(None).cast(p.schema["row"].dataType).alias("row"), "origin_id")
+    # entities are cut by year; what a year begins with comes from the years before, one row each
+    both = p.unionByName(f).withColumn("year", F.year("at"))
+    ends = p.withColumn("year", F.year("at")).groupBy("source", "model", "dist", "year").agg(F.max("row").alias("row"))
+    w = M.Window.partitionBy("source", "model", "dist").orderBy("year")
+    axis = both.select("source", "model", "dist", "year").distinct().join(ends, ["source", "model", "dist", "year"], "left")
+    start = axis.select("source", "model", "dist", "year", F.last("row", ignorenulls=True).over(w.rowsBetween(M.Window.unboundedPreceding, -1)).alias("start"))
+    inside = M.Window.partitionBy("source", "model", "dist", "year").orderBy("at", "side").rowsBetween(M.Window.unboundedPreceding, 0)
+    got = both.withColumn("seen", F.last("row", ignorenulls=True).over(inside)).where("side = 1").join(start, ["source", "model", "dist", "year"])
+    return got.withColumn("seen", F.coalesce("seen", "start")).where("seen IS NOT NULL").select("origin_id", "seen.governing", "seen.sigma2_next")
 add("asof_params", "origin_id:i governing:d sigma2_next:10",
     "(SELECT f.origin_id, p.date AS governing, p.sigma2_next FROM forecast_v21 f ASOF JOIN (SELECT source, model, dist, date, arg_max(sigma2_next, param_id) AS sigma2_next FROM param_paths WHERE date IS NOT NULL AND source IS NOT NULL AND sigma2_next IS NOT NULL GROUP BY ALL) p ON f.source = p.source AND f.model = p.model AND f.dist = p.dist AND f.date >= p.date)", _governing)
 add("common_dates", "date:d", "(SELECT date FROM bars WHERE symbol = 'SEED' INTERSECT SELECT date FROM bars WHERE symbol = 'TRADED')",
@@ -392,13 +402,18 @@ add("rolling_sharpe", "strategy date:d sharpe:5", "(SELECT strategy, date, CASE
 add("evaluation_frame", "date:d model v:10 rv:10", "frame", _frame)
 add("loss_table", "model min_forecast:10 qlike_mean:7 qlike_se:7 mse_mean:13 mse_se:13 qlike_rank:i mse_rank:i", "losst", lambda s, d: E.loss_table(_losses(s, d)))
 add("loss_concentration", "loss model full_mean:12 calm_mean:12 top_share:6 rank_full:i rank_calm:i", "conc", lambda s, d: E.loss_concentration(_losses(s, d), CRISES))
-add("dm_pairs", "loss a b dm:5 lag:i acf1:6 mean_diff:12 n:i", "(SELECT loss, a, b, mean / sqrt(CASE WHEN hac_var > 0 THEN hac_var END) AS dm, lag, acf1, mean AS mean_diff, n FROM dmh)", lambda s, d: E.diebold_mariano(_losses(s, d)))
-add("mincer_zarnowitz", "model a:9 b:5 r2:6 se_a:9 se_b:5 wald:3 n:i", "mz", lambda s, d: E.mincer_zarnowitz(_frame(s, d)))
+add("dm_pairs", "loss a b dm:5 p:6 lag:i acf1:6 mean_diff:12 n:i", "(SELECT *, 2 * " + stats.norm_tail_sql("abs(dm)") + " AS p FROM (SELECT loss, a, b, mean / sqrt(CASE WHEN hac_var > 0 THEN hac_var END) AS dm, lag, acf1, mean AS mean_diff, n FROM dmh))", lambda s, d: E.diebold_mariano(_losses(s, d)))
+def _mz(frame: DataFrame) -> DataFrame:
+    frame = cut(frame)
+    a, b, c = (E.mincer_zarnowitz(frame, k) for k in (3, 5, 8))
+    return a.unionByName(b).unionByName(c)
+add("mincer_zarnowitz", "model lag:i a:9 b:5 r2:6 se_a:9 se_b:5 wald:3 wald_p:6 n:i", "mz", lambda s, d: _mz(_frame(s, d)))
 add("spearman_matrix", "a b rho:8", "(SELECT a, b, rho FROM (SELECT 'overnight_var' AS a, 'rs' AS b, corr(ro, rr) AS rho FROM ranks UNION ALL SELECT 'overnight_var', 'rv_daily', corr(ro, rv) FROM ranks UNION ALL SELECT 'rs', 'rv_daily', corr(rr, rv) FROM ranks))",
     lambda s, d: E.spearman(_traded(_meas(s, d)), ["overnight_var", "rs", "rv_daily"]))
-add("ledoit_wolf", "i j diff:8 z:5 lag:i", "lw", lambda s, d: E.ledoit_wolf(_bt(s, d)))
+add("ledoit_wolf", "i j diff:8 z:5 p:6 lag:i", "(SELECT *, 2 * " + stats.norm_tail_sql("abs(z)") + " AS p FROM lw)", lambda s, d: E.ledoit_wolf(_bt(s, d)))
 add("deflated_sharpe_inputs", "strategy sr:8 g3:5 g4:4 n:i", "dsr", lambda s, d: E.deflated_sharpe(_bt(s, d), 19))
-add("deflated_sharpe", "strategy sr:8 sr0:8 z:5 dsr:6", None, lambda s, d: E.deflated_sharpe(_bt(s, d), 19))
+_BEST = (1 - stats.EULER) * NormalDist().inv_cdf(1 - 1 / 19) + stats.EULER * NormalDist().inv_cdf(1 - 1 / (19 * math.e))
+add("deflated_sharpe", "strategy sr:8 sr0:8 z:5 dsr:6", "(SELECT *, CASE WHEN z > 0 THEN 1 - t ELSE t END AS dsr FROM (SELECT *, " + stats.norm_tail_sql("abs(z)") + f" AS t FROM (SELECT *, (sr - sr0) * sqrt(n - 1) / sqrt(1 - g3 * sr + (g4 - 1) / 4 * sr * sr) AS z FROM (SELECT *, sqrt(var_samp(sr) OVER ()) * {_BEST!r} AS sr0 FROM dsr))))", lambda s, d: E.deflated_sharpe(_bt(s, d), 19))
 add("confidence_sets", "loss block:i model mcs_p:4 retained", None, lambda s, d: E.model_confidence_sets(_losses(s, d), [2, 5, 10]))
 add("adherence_bootstrap", "block_days:i strategy point:6 ci90_lo:6 ci90_hi:6 p_best:4", None, lambda s, d: E.adherence_bootstrap(_bt(s, d), RULES.target, [42, 105, 210]))
 
@@ -414,11 +429,13 @@ def _cross(s: SparkSession, d: str) -> DataFrame:
     j = l.join(a, "model").join(m, "model").withColumn("all", F.lit(1)).withColumn("neg", -F.col("sharpe"))
     return j.withColumn("qlike_rank", stats.average_rank("qlike", ["all"])).withColumn("adherence_rank", stats.average_rank("adherence_mad", ["all"])).withColumn("sharpe_rank", stats.average_rank("neg", ["all"]))
 add("cross_layer_ranks", "model qlike:7 adherence_mad:7 sharpe:6 qlike_rank:2 adherence_rank:2 sharpe_rank:2", "(SELECT *, CAST(rank() OVER (ORDER BY qlike) AS DOUBLE) AS qlike_rank, CAST(rank() OVER (ORDER BY adherence_mad) AS DOUBLE) AS adherence_rank, CAST(rank() OVER (ORDER BY sharpe DESC) AS DOUBLE) AS sharpe_rank FROM ranksx)", _cross)
-def _z_grid(s: SparkSession, d: str) -> DataFrame:
-    z = E.ledoit_wolf(_bt(s, d)).select("i", "j", "z")
-    names = _bt(s, d).select("strategy").distinct()
-    return z.unionByName(z.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("z")).alias("z"))).unionByName(names.select(F.col("strategy").alias("i"), F.col("strategy").alias("j"), F.lit(0.0).alias("z")))
-add("sharpe_matrix", "i j z:5", "(SELECT i, j, z FROM lw UNION ALL SELECT j, i, -z FROM lw UNION ALL SELECT DISTINCT strategy, strategy, 0 FROM roll)", _z_grid)
+def _z_grid(bt: DataFrame) -> DataFrame:
+    z = E.ledoit_wolf(bt).select("i", "j", "z")
+    names = bt.select("strategy").distinct()
+    z = z.unionByName(z.select(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("z")).alias("z"))).unionByName(names.select(F.col("strategy").alias("i"), F.col("strategy").alias("j"), F.lit(0.0).alias("z")))
+    return z.withColumn("p", stats.two_sided("z"))
+add("sharpe_matrix", "i j z:5 p:6", "(SELECT *, 2 * " + stats.norm_tail_sql("abs(z)") + " AS p FROM (SELECT i, j, z FROM lw UNION ALL SELECT j, i, -z FROM lw UNION ALL SELECT DISTINCT strategy, strategy, 0 FROM roll))", lambda s, d: _z_grid(_bt(s, d)))
+add("models_sharpe_matrix", "i j z:5 p:6", None, lambda s, d: _z_grid(_model_bt(s, d)))
 add("undershoot", "n:i corr_dev_vov:6 mean_dev:7 bias_term:8", f"(SELECT count(*) AS n, corr(signed_dev, vov) AS corr_dev_vov, avg(signed_dev) AS mean_dev, {RULES.target} * (1 - 1 / (4 * 20e0)) - {RULES.target} AS bias_term FROM signedq)",
     lambda s, d: B.signed_adherence(_bt(s, d), RULES).agg(F.count(F.lit(1)).alias("n"), F.corr("signed_dev", "vov").alias("corr_dev_vov"), F.avg("signed_dev").alias("mean_dev"), F.lit(RULES.target * (1 - 1 / 80) - RULES.target).alias("bias_term")))
 add("windowed_metrics", "strategy final_equity:2 realized_vol:7 sharpe_excess:6 max_drawdown:7 skew:5", "(SELECT strategy, arg_max(equity, date) AS final_equity, stddev_samp(ret) * sqrt(252) AS realized_vol, avg(wex) / stddev_samp(wex) * sqrt(252) AS sharpe_excess, min(equity / wpeak - 1) AS max_drawdown, skewness(ret) AS skew FROM btw GROUP BY strategy)",
@@ -491,12 +508,12 @@ def _model_sets(s: SparkSession, d: str) -> DataFrame:
 add("models_forecasts", "date:d model v:8", None, _models)
 add("models_loss_table", "model min_forecast:8 qlike_mean:7 qlike_se:7 mse_mean:13 mse_se:13 qlike_rank:i mse_rank:i", None, lambda s, d: E.loss_table(_model_losses(s, d)))
 add("models_loss_concentration", "loss model full_mean:12 calm_mean:12 top_share:6 rank_full:i rank_calm:i", None, lambda s, d: E.loss_concentration(_model_losses(s, d), CRISES))
-add("models_dm_pairs", "loss a b dm:5 lag:i acf1:6 mean_diff:12 n:i", None, lambda s, d: E.diebold_mariano(_primary(_model_losses(s, d))))
-add("models_mincer_zarnowitz", "model a:9 b:5 r2:6 se_a:9 se_b:5 wald:3 n:i", None, lambda s, d: E.mincer_zarnowitz(_model_frame(s, d)))
+add("models_dm_pairs", "loss a b dm:5 p:6 lag:i acf1:6 mean_diff:12 n:i", None, lambda s, d: E.diebold_mariano(_primary(_model_losses(s, d))))
+add("models_mincer_zarnowitz", "model lag:i a:9 b:5 r2:6 se_a:9 se_b:5 wald:3 wald_p:6 n:i", None, lambda s, d: _mz(_model_frame(s, d)))
 add("models_confidence_sets", "set loss block:i model mcs_p:4 retained", None, _model_sets)
 add("models_backtest_metrics", "strategy final_equity:2 cagr:7 realized_vol:7 vol_target_gap:7 sharpe_excess:6 max_drawdown:7 mean_leverage:7", None, lambda s, d: B.metrics(_model_bt(s, d), RULES))
 add("models_adherence", "strategy realized_vol:7 vol_target_gap:7 mad_nonoverlap:7 vol_of_vol:7 frac_within_10pct:6 frac_within_25pct:6 n_blocks:i", None, lambda s, d: B.adherence(_model_bt(s, d), RULES))
-add("models_ledoit_wolf", "i j diff:8 z:5 lag:i", None, lambda s, d: E.ledoit_wolf(_model_bt(s, d)))
+add("models_ledoit_wolf", "i j diff:8 z:5 p:6 lag:i", None, lambda s, d: E.ledoit_wolf(_model_bt(s, d)))
 add("models_deflated_sharpe", "strategy sr:8 sr0:8 z:5 dsr:6", None, lambda s, d: E.deflated_sharpe(_model_bt(s, d), 19))
 add("models_adherence_bootstrap", "block_days:i strategy point:6 ci90_lo:6 ci90_hi:6 p_best:4", None, lambda s, d: E.adherence_bootstrap(_model_bt(s, d), RULES.target, [42, 105, 210]))
 add("models_adherence_sets", "block_units:i model mcs_p:4 retained", None, lambda s, d: E.adherence_confidence_sets(_model_bt(s, d).where(F.col("strategy").isin(PRIMARY)), RULES.target, [2, 5, 10]))

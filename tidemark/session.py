@@ -18,6 +18,7 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -29,10 +30,12 @@ def build_session(app: str = "tidemark", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; set a local one only where none is set (tests, local mode)."""
+    """Keep the cluster's shared folder; set a local one only in local mode where none is set (tests). A cluster without one is an error."""
     if spark.sparkContext.getCheckpointDir() is not None:
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
 
 
