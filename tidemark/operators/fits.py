@@ -110,13 +110,14 @@ def _unpack(model: str, dist: str, x: np.ndarray) -> dict[str, float]:
         total, share = (1 - 1e-6) * _sig(x[0]), _sig(x[1])
         p = {"alpha": total * share, "beta": total * (1 - share)}
     elif model == "gjr":
-        total, share, lean = (1 - 1e-6) * _sig(x[0]), _sig(x[1]), _sig(x[2])
-        both = total * share  # alpha + gamma / 2
-        p = {"alpha": both * (1 - lean), "gamma": min(2 * both * lean, 1.0), "beta": total * (1 - share)}
+        total, share, lean = (1 - 1e-6) * _sig(x[0]), _sig(x[1]), math.tanh(x[2])
+        both = total * share  # alpha + gamma / 2; |lean| < 1 keeps alpha and alpha + gamma positive
+        gamma = min(max(2 * both * lean, -0.5), 1.0)
+        p = {"alpha": both - gamma / 2, "gamma": gamma, "beta": total * (1 - share)}
     else:
         p = {"omega": x[0], "alpha": x[1], "gamma": x[2], "beta": math.tanh(x[3])}
     if dist == "skewt":
-        p |= {"eta": 2.05 + 60 * _sig(x[-2]), "lambda": math.tanh(x[-1])}
+        p |= {"eta": 2.05 + 297.95 * _sig(x[-2]), "lambda": math.tanh(x[-1])}
     return p
 
 
@@ -125,8 +126,8 @@ def fit(model: str, dist: str, returns: np.ndarray, most: int = 8000) -> dict:
     until that gains nothing more: only then is the fit converged. `most` is a guard in evaluations of the likelihood over all starts."""
     r = (returns - returns.mean()) * 100
     level = math.log(float((r * r).mean()))
-    start = {"garch": [3.0, -2.9], "gjr": [3.0, -2.9, 0.0], "egarch": [0.05 * level, 0.1, -0.05, 1.8]}[model]
-    x = np.array([*start, *([-2.2, -0.05] if dist == "skewt" else [])])
+    start = {"garch": [3.0, -2.9], "gjr": [3.0, -2.9, 0.55], "egarch": [0.05 * level, 0.1, -0.05, 1.8]}[model]
+    x = np.array([*start, *([-3.9, -0.05] if dist == "skewt" else [])])
     used = 0
 
     def loss(x: np.ndarray) -> float:
@@ -145,6 +146,45 @@ def fit(model: str, dist: str, returns: np.ndarray, most: int = 8000) -> dict:
     return {"params": _unpack(model, dist, x), "loglik": -value, "converged": done, "evaluations": used}
 
 
+def plain_garch_level(returns: np.ndarray, most: int = 8000) -> tuple[float, bool]:
+    """Long-run variance omega / (1 - alpha - beta) of a Gaussian GARCH(1,1) whose omega is free, and whether the fit converged."""
+    r = (returns - returns.mean()) * 100
+    q, start = (r * r).tolist(), float((r * r).mean())
+
+    def loss(x: np.ndarray) -> float:
+        total, share = (1 - 1e-6) * _sig(x[0]), _sig(x[1])
+        a, b, level = total * share, total * (1 - share), math.exp(min(max(x[2], -50.0), 50.0))
+        omega, s2, acc = level * (1 - total), start, 0.0
+        for v in q:
+            acc += math.log(s2) + v / s2
+            s2 = omega + a * v + b * s2
+        return acc / 2
+
+    x, value, done, used = np.array([3.0, -2.9, math.log(start)]), math.inf, False, 0
+    while not done and used < most:
+        before = value
+        x, value, ok = simplex(loss, x, most=most - used)
+        used += most // 8
+        done = ok and before - value <= 1e-6 * (abs(value) + 1)
+    return math.exp(x[2]) / 1e4, done
+
+
+def level_sensitivity(rets: DataFrame, month: str, threshold: float = 0.10) -> DataFrame:
+    """Per symbol the plain GARCH level with all returns and without those of `month` (YYYY-MM), the relative change and a flag above `threshold`."""
+    kind = rets.schema["symbol"].dataType.simpleString()
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("date")
+        keep = ~g["date"].astype(str).str.startswith(month)
+        (with_, a), (without, b) = plain_garch_level(g["log_ret"].to_numpy()), plain_garch_level(g.loc[keep, "log_ret"].to_numpy())
+        change = with_ / without - 1
+        return pd.DataFrame({"symbol": [g["symbol"].iloc[0]], "level": [with_], "level_without": [without], "change": [change], "flag": [abs(change) > threshold], "converged": [a and b]})
+
+    # a symbol's history is one row a day, the input every fit needs whole
+    r = rets.where(F.col("log_ret").isNotNull()).select("symbol", "date", "log_ret")
+    return r.groupBy("symbol").applyInPandas(run, f"symbol {kind}, level double, level_without double, change double, flag boolean, converged boolean")
+
+
 def state(model: str, params: dict[str, float], returns: np.ndarray) -> dict[str, float]:
     """Filter with fixed parameters: long-run and next variance, persistence."""
     r = (returns - returns.mean()) * 100

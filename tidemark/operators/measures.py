@@ -6,9 +6,14 @@ for evaluation only and live in evaluation_targets.
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
+from tidemark.functions import calendars
 from tidemark.functions.stats import gated, rows_back
 
 
@@ -72,11 +77,26 @@ def splice_returns(seed: DataFrame, traded: DataFrame, takeover: str) -> DataFra
 
 
 def rebalance_dates(bars: DataFrame) -> DataFrame:
-    """Last bar of each complete month, numbered; the last month observed counts as incomplete."""
+    """Last bar of each complete month, numbered. The last month observed is complete if a bar stands on or after its last session by the
+    exchange calendar."""
     m = bars.groupBy(F.trunc("date", "MM").alias("month")).agg(F.max("date").alias("date"))
+    last = m.agg(F.max("month").alias("last"), F.max("date").alias("seen")).select("last", (F.col("seen") >= last_session("last")).alias("whole"))
     w = Window.partitionBy(F.lit(1)).orderBy("month")
-    last = F.max("month").over(Window.partitionBy(F.lit(1)))
-    return m.withColumn("last", last).where(F.col("month") < F.col("last")).select("date", F.row_number().over(w).alias("seq"))
+    return m.join(F.broadcast(last), (F.col("month") < F.col("last")) | F.col("whole")).select("date", F.row_number().over(w).alias("seq"))
+
+
+@F.pandas_udf(DateType())
+def last_session(month: pd.Series) -> pd.Series:
+    """Last session of the month of a date."""
+
+    def one(d: dt.date | None) -> dt.date | None:
+        if d is None:
+            return None
+        end = dt.date(d.year + d.month // 12, d.month % 12 + 1, 1) - dt.timedelta(1)
+        return calendars.sessions(end - dt.timedelta(10), end)[-1]
+
+    known = {d: one(d) for d in set(month.dropna())}
+    return month.map(known)
 
 
 def mechanical_opens(bars: DataFrame) -> DataFrame:

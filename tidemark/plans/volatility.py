@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Callable
 from statistics import NormalDist
@@ -9,7 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import stats
+from tidemark.functions import calendars, stats
 from tidemark.operators import backtest as B
 from tidemark.operators import evaluation as E
 from tidemark.operators import fits, forecasts, intraday
@@ -34,6 +35,8 @@ _W = "(PARTITION BY symbol ORDER BY date)"
 _BARS = """SELECT symbol, date, arg_min(px, k) AS open, max(px) AS high, min(px) AS low, arg_max(px, k) AS close, sum(l_quantity) AS volume, count(*) AS n
   FROM (SELECT {symbol} AS symbol, CAST(l_shipdate AS DATE) AS date, 100e0 * pow(l_extendedprice / l_quantity, 0.003e0) AS px, l_quantity,
     row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS k FROM lineitem) GROUP BY symbol, date"""
+#: The exchange's sessions in the years of the data, as the calendar's rules give them.
+_SESSIONS = "SELECT DATE '1992-01-01' + CAST(unnest([" + ", ".join(str((x - dt.date(1992, 1, 1)).days) for x in calendars.sessions(dt.date(1992, 1, 1), dt.date(1998, 12, 31))) + "]) AS INTEGER) AS x"
 C: dict[str, str] = {
     "bars": _BARS.format(symbol="CASE WHEN l_linestatus = 'O' THEN 'SEED' ELSE 'TRADED' END"),
     "flagbars": _BARS.format(symbol="l_returnflag"),
@@ -59,7 +62,7 @@ C: dict[str, str] = {
       UNION ALL SELECT date, 'traded', overnight_var, rs, rv_daily, yz FROM meas WHERE symbol = 'TRADED' AND date >= DATE '{market.TAKEOVER}'""",
     "spliced": f"""SELECT date, log_ret, 'seed' AS source FROM rets WHERE symbol = 'SEED' AND date < DATE '{market.TAKEOVER}' AND log_ret IS NOT NULL
       UNION ALL SELECT date, log_ret, 'traded' FROM (SELECT date, ln(close) - ln(lag(close) OVER (ORDER BY date)) AS log_ret FROM bars WHERE symbol = 'TRADED' AND date >= DATE '{market.TAKEOVER}') WHERE log_ret IS NOT NULL""",
-    "reb": "SELECT date, row_number() OVER (ORDER BY date) AS seq FROM (SELECT date_trunc('month', date) AS m, max(date) AS date, max(date_trunc('month', max(date))) OVER () AS z FROM bars WHERE symbol = 'TRADED' GROUP BY 1) WHERE m < z",
+    "reb": f"SELECT date, row_number() OVER (ORDER BY date) AS seq FROM (SELECT date_trunc('month', date) AS m, max(date) AS date, max(date_trunc('month', max(date))) OVER () AS z FROM bars WHERE symbol = 'TRADED' GROUP BY 1) WHERE m < z OR date >= (SELECT max(x) FROM ({_SESSIONS}) WHERE date_trunc('month', x) = m)",
     "fc": f"""SELECT model, date, v FROM (SELECT 'rv21' AS model, m.date, m.rv21 AS v FROM meas m JOIN reb r ON m.date = r.date WHERE symbol = 'TRADED' AND rn >= {LEAST} UNION ALL SELECT 'rv5', m.date, m.rv5 FROM meas m JOIN reb r ON m.date = r.date WHERE symbol = 'TRADED' AND rn >= {LEAST}
       UNION ALL SELECT 'uncond', m.date, m.uncond FROM meas m JOIN reb r ON m.date = r.date WHERE symbol = 'TRADED' AND rn >= {LEAST} UNION ALL SELECT 'ewma', e.date, e.ewma FROM ewma e JOIN reb r ON e.date = r.date JOIN meas m ON m.symbol = e.symbol AND m.date = e.date WHERE e.symbol = 'TRADED' AND rn >= {LEAST})""",
     "weights": f"""SELECT model AS strategy, date, least(greatest({RULES.target} / sqrt(252 * v), {RULES.floor}), {RULES.cap}) AS w FROM fc WHERE v > 0
