@@ -273,3 +273,43 @@ def fbm_constant_numerical(h: float, points: int = 800, ahead: int = 40) -> floa
     gram = noise[np.abs(np.arange(points)[:, None] - np.arange(points)[None, :])]
     cross = 0.5 * (k ** (2 * h) - (ahead + k) ** (2 * h) - (k + 1) ** (2 * h) + (ahead + k + 1) ** (2 * h))
     return float(1 - cross @ np.linalg.solve(gram, cross) / ahead ** (2 * h))
+
+
+def retained_everywhere(sets: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group and model: in how many confidence sets (one for each block length) it is retained, and whether in all."""
+    g = sets.groupBy(*keys, "model").agg(F.count(F.lit(1)).alias("sets"), F.count_if("retained").alias("kept"))
+    return g.withColumn("in_all", F.col("sets") == F.col("kept"))
+
+
+def retained_changes(sets: DataFrame, keys: list[str], by: str = "block") -> DataFrame:
+    """Symmetric differences of the retained sets of two values of `by`: the models one of the two keeps and the other doesn't."""
+    s = sets.groupBy(*keys, by).agg(F.array_sort(F.collect_list(F.when(F.col("retained"), F.col("model")))).alias("kept"))
+    a, b = s.withColumnRenamed(by, "a").withColumnRenamed("kept", "ka"), s.withColumnRenamed(by, "b").withColumnRenamed("kept", "kb")
+    j = a.join(b, keys).where(F.col("a") < F.col("b")) if keys else a.join(b, F.col("a") < F.col("b"))
+    return j.select(*keys, "a", "b", F.array_sort(F.array_union(F.array_except("ka", "kb"), F.array_except("kb", "ka"))).alias("differ"))
+
+
+def normality(x: DataFrame, col: str, keys: list[str]) -> DataFrame:
+    """Jarque-Bera statistic of a column by group, with its p-value (chi-squared with two degrees of freedom)."""
+    g = x.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.skewness(col).alias("skew"), F.kurtosis(col).alias("kurt"))
+    jb = F.col("n") / 6 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4)
+    return g.withColumn("jb", jb).withColumn("p", F.exp(-F.col("jb") / 2))
+
+
+def looked_up(keys: DataFrame, primary: DataFrame, fallback: DataFrame, on: str, col: str) -> DataFrame:
+    """For each key the value of `col` in the primary table, else in the fallback, and which of them gave it."""
+    j = keys.select(on).join(primary.select(on, F.col(col).alias("p")), on, "left").join(fallback.select(on, F.col(col).alias("f")), on, "left")
+    return j.select(on, F.coalesce("p", "f").alias(col), F.when(F.col("p").isNotNull(), "primary").when(F.col("f").isNotNull(), "fallback").otherwise("none").alias("origin"))
+
+
+def canonical(df: DataFrame, col: str, order: list[str]) -> DataFrame:
+    """Adds `place`: the position in a fixed order, names outside it after all others by name."""
+    at = F.array_position(F.array(*map(F.lit, order)), F.col(col))
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.when(at > 0, at).otherwise(len(order) + 1), col)))
+
+
+def calm(l: DataFrame, crises: list[tuple[str, str]]) -> DataFrame:
+    """Losses outside the crisis spans."""
+    for a, b in crises:
+        l = l.where(~F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")))
+    return l

@@ -141,6 +141,23 @@ def rough_forecast(m: DataFrame, params: DataFrame, horizon: int = 21, reach: in
     return j.withColumn("f", run("tail", "mu", "var", "h", "nu2")).select("symbol", "date", "h", "f.v", "f.retransform_pct", "f.capped")
 
 
+def rough_path(m: DataFrame, params: DataFrame, horizon: int = 63, reach: int = 1500) -> DataFrame:
+    """Like rough_forecast, but every day ahead: (symbol, date, h, pt)."""
+    x = m.where(F.col("log_rv").isNotNull())
+    x = x.select("symbol", "date", F.collect_list("log_rv").over(_w().rowsBetween(-reach, 0)).alias("tail"), F.avg("log_rv").over(_upto()).alias("mu"), F.var_samp("log_rv").over(_upto()).alias("var"))
+
+    @F.pandas_udf("array<double>")
+    def run(tail: pd.Series, mu: pd.Series, var: pd.Series, h: pd.Series, nu2: pd.Series) -> pd.Series:
+        out = []
+        for t, mean, s2, h0, n2 in zip(tail, mu, var, h, nu2):
+            x_ = np.asarray(t, dtype=float)
+            out.append(rough_points((x_ - mean)[::-1][: min(reach, len(x_) - 1)], mean, s2, h0, n2, horizon)[0].tolist())
+        return pd.Series(out)
+
+    j = x.join(params, ["symbol", "date"]).select("symbol", "date", F.posexplode(run("tail", "mu", "var", "h", "nu2")).alias("k", "pt"))
+    return j.select("symbol", "date", (F.col("k") + 1).alias("h"), "pt")
+
+
 def lambda_h(phi: Column, h: Column) -> Column:
     """Share of the distance to the long-run variance that is left, on average over h days."""
     return F.when(F.abs(phi - 1) < 1e-12, 1.0).otherwise((1 - F.pow(phi, h)) / (h * (1 - phi)))

@@ -84,3 +84,41 @@ def split_candidates(bars: DataFrame, jump: float = 0.2, within: float = 0.15) -
     ratio = F.exp(-F.col("r"))
     seen = F.col("prev") / F.col("open")
     return b.select("symbol", "date", ratio.alias("implied"), seen.alias("observed"), F.when(F.abs(seen / ratio - 1) < within, "unadjusted").when(F.abs(seen - 1) < within, "adjusted").otherwise("inconclusive").alias("verdict"))
+
+
+def ticker_by_year(d: DataFrame, tickers: list[str]) -> DataFrame:
+    """Cross-tab of bars by year, empty cells zero."""
+    return d.groupBy(F.year("day").alias("year")).pivot("ticker", tickers).count().na.fill(0)
+
+
+def missing_by_year(s: DataFrame) -> DataFrame:
+    """Of the sessions: how many by year, and their mean of missing minutes."""
+    return s.groupBy(F.year("day").alias("year")).agg(F.count(F.lit(1)).alias("sessions"), F.avg("missing").alias("mean_missing"))
+
+
+def unexplained_short(s: DataFrame, explained: DataFrame, share: float = 0.9) -> DataFrame:
+    """Sessions with fewer than `share` of the expected minutes that aren't among the `explained` days (early closes, holidays)."""
+    short = s.where(F.col("minutes") < share * F.col("expected"))
+    return short.join(explained.select(F.col("day").alias("known")), F.col("day") == F.col("known"), "left_anti").select("day", "minutes", "expected")
+
+
+def signature_by_year(rv: DataFrame) -> DataFrame:
+    """Annualised volatility by slot width and year."""
+    return rv.groupBy("k", "ticker", F.year("day").alias("year")).agg(F.sqrt(F.avg("rv") * 252).alias("vol"), F.count(F.lit(1)).alias("days"))
+
+
+def against_close_to_close(rv: DataFrame, daily: DataFrame) -> DataFrame:
+    """Volatility from realised variance within the day plus the squared return over night, against that of close-to-close returns."""
+    w = Window.partitionBy("ticker").orderBy("day")
+    d = daily.withColumn("night", F.log("open") - F.log(F.lag("close").over(w))).withColumn("cc", F.log("close") - F.log(F.lag("close").over(w)))
+    j = rv.join(d.where(F.col("cc").isNotNull()).select("ticker", "day", "night", "cc"), ["ticker", "day"]).withColumn("n2", F.col("night") * F.col("night"))
+    g = j.groupBy("ticker").agg(F.sqrt(F.avg(F.col("rv") + F.col("n2")) * 252).alias("full_vol"), F.sqrt(F.var_samp("cc") * 252).alias("cc_vol"), (F.avg("n2") / F.avg(F.col("rv") + F.col("n2"))).alias("overnight_share"), F.count(F.lit(1)).alias("days"))
+    return g.withColumn("ratio", F.col("full_vol") / F.col("cc_vol"))
+
+
+def split_events(bars: DataFrame, jump: float = 0.2, ratios: tuple[float, ...] = (2.0, 3.0, 4.0, 1.5, 0.5, 0.1)) -> DataFrame:
+    """The listing of split candidates with the nearest usual ratio and the return that is left once the close is multiplied by it."""
+    w = Window.partitionBy("symbol").orderBy("date")
+    b = bars.withColumn("prev", F.lag("close").over(w)).withColumn("r", F.log(F.col("close") / F.col("prev"))).where(F.abs("r") > jump)
+    near = F.array_sort(F.array(*[F.struct(F.abs(F.log(F.col("prev") / F.col("close") / x)).alias("far"), F.lit(x).alias("ratio")) for x in ratios]))[0]["ratio"]
+    return b.select("symbol", "date", "prev", "close", near.alias("ratio")).withColumn("adjusted_ret", F.log(F.col("close") * F.col("ratio") / F.col("prev")))
