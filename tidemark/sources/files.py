@@ -9,7 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -48,33 +48,38 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").distinct().select(F.element_at(F.split("file_path", "/"), -1).alias("file"), F.col("file_size").alias("bytes"))
 
 
-def footers(spark: SparkSession, folder: str, column: str) -> DataFrame:
-    """Row groups of the parquet files under `folder`: rows and the statistics of `column`, read from footers in parallel."""
-    files = sorted(map(str, Path(folder).rglob("*.parquet"))) if Path(folder).is_dir() else [folder]
-    files = [f for f in files if Path(f).is_file()]
-    df = spark.createDataFrame([(f,) for f in files], "path string").repartition(max(1, min(len(files), 64)))
+def footers(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """Row groups of the parquet files at `path` (a file or a folder): rows and the statistics of `column`. The files are listed by Spark, on
+    any file system, and each footer is read where its file is scheduled, from the file's last bytes."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path).select("path").distinct()
+    listed = listed.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pfs
         import pyarrow.parquet as pq
 
         for b in batches:
             out = []
             for p in b["path"]:
-                meta = pq.ParquetFile(p).metadata
+                fs, name = pfs.FileSystem.from_uri(p)
+                with fs.open_input_file(name) as f:
+                    meta = pq.ParquetFile(f).metadata
                 for i in range(meta.num_row_groups):
                     g = meta.row_group(i)
                     s = next((g.column(j).statistics for j in range(g.num_columns) if g.column(j).path_in_schema == column), None)
-                    out.append((Path(p).name, i, g.num_rows, str(s.min) if s is not None and s.has_min_max else None, str(s.max) if s is not None and s.has_min_max else None))
+                    out.append((p.rsplit("/", 1)[-1], i, g.num_rows, str(s.min) if s is not None and s.has_min_max else None, str(s.max) if s is not None and s.has_min_max else None))
             yield pd.DataFrame(out, columns=["file", "row_group", "rows", "lo", "hi"])
 
-    return df.mapInPandas(read, "file string, row_group int, rows long, lo string, hi string")
+    return listed.mapInPandas(read, "file string, row_group int, rows long, lo string, hi string")
 
 
 def prunable(groups: DataFrame, value: str, enough: float = 0.25) -> DataFrame:
-    """Share of rows in row groups whose statistics exclude `value`, whether the groups are sorted, and the verdict."""
-    g = groups.withColumn("out", ~F.coalesce((F.col("lo") <= value) & (F.col("hi") >= value), F.lit(True)))
+    """Share of rows in row groups whose statistics exclude `value`, whether the groups are sorted (each begins where the one before it in its
+    file ended, or later), and the verdict."""
+    w = Window.partitionBy("file").orderBy("row_group")
+    g = groups.withColumn("out", ~F.coalesce((F.col("lo") <= value) & (F.col("hi") >= value), F.lit(True))).withColumn("in_order", F.coalesce(F.col("lo") >= F.lag("hi").over(w), F.lit(True)))
     share = F.sum(F.when(F.col("out"), F.col("rows")).otherwise(0)) / F.sum("rows")
-    return g.agg(F.count(F.lit(1)).alias("groups"), share.alias("prunable"), (share >= enough).alias("worth_it"))
+    return g.agg(F.count(F.lit(1)).alias("groups"), share.alias("prunable"), F.every("in_order").alias("sorted"), (share >= enough).alias("worth_it"))
 
 
 def markdown(df: DataFrame, most: int = 100) -> str:
