@@ -64,7 +64,7 @@ def test_past_never_changes(spark, daily, cut):
         m = M.daily_measures(M.returns(df))
         x = M.expanding_mean(M.trailing_mean(m, "rv_daily", 21, "rv21"), "rv_daily", "uncond").select("date", "rv_daily", "yz", "rv21", "uncond")
         e = forecasts.ewma(M.returns(df)).select("date", "ewma")
-        h = forecasts.har_forecast(m).select("date", F.col("v").alias("har"))
+        h = forecasts.har_forecast(m, least=250).select("date", F.col("v").alias("har"))
         g = forecasts.hurst(forecasts.variogram(m)).select("date", "h", "nu2")
         return x.join(e, "date", "left").join(h, "date", "left").join(g, "date", "left").orderBy("date").toPandas().set_index("date")
 
@@ -87,7 +87,7 @@ def test_ewma_is_the_recursion(daily):
 def test_har_equals_least_squares(daily):
     m = M.daily_measures(M.returns(daily))
     rv = m.orderBy("date").select("rv_daily").toPandas()["rv_daily"]
-    got = forecasts.har_forecast(m).orderBy("date").toPandas().iloc[-1]
+    got = forecasts.har_forecast(m, least=250).orderBy("date").toPandas().iloc[-1]
     x = np.log(np.column_stack([rv, rv.rolling(5).mean(), rv.rolling(22).mean()]))
     y = np.log(rv.rolling(21).mean().shift(-21).to_numpy())
     ok = np.isfinite(x).all(axis=1) & np.isfinite(y)
@@ -241,7 +241,7 @@ def test_egarch_daily_is_causal(spark):
         b = spark.createDataFrame(rows, SCHEMA)
         r = M.returns(b)
         reb = M.rebalance_dates(b).where("seq IN (14, 15)")
-        f = fits.refit(r, reb, models=("egarch",), dists=("normal",), most=600)
+        f = fits.refit(r, reb, models=("egarch",), dists=("normal",), most=600, least=250)
         return {x["date"]: (x["refit"], x["v"]) for x in fits.egarch_daily(f, r, paths=300).collect()}
 
     rows = bars(400)
@@ -262,7 +262,7 @@ def test_refits_converge_at_the_production_cap(spark):
         row[2:6] = [close] * 4
     b = spark.createDataFrame([tuple(x) for x in rows], SCHEMA)
     rets = M.returns(b)
-    got = fits.refit(rets, M.rebalance_dates(b).where("seq IN (14, 20)")).collect()
+    got = fits.refit(rets, M.rebalance_dates(b).where("seq IN (14, 20)"), least=250).collect()
     assert len(got) == 2 * len(fits.MODELS) * len(fits.DISTS)
     assert all(r["converged"] and not r["carried"] and r["v21"] > 0 for r in got)
     x = np.array([r["log_ret"] for r in rets.where("log_ret IS NOT NULL").orderBy("date").collect()])

@@ -238,71 +238,83 @@ def simulate_garch_mean(alpha: float, beta: float, sig2bar: float, nxt: float, h
 FIELDS = "symbol string, date date, seq int, model string, dist string, converged boolean, carried boolean, n int, loglik double, persistence double, sig2bar double, sigma2_next double, v21 double, params map<string,double>"
 
 
-def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS, dists: tuple[str, ...] = DISTS, least: int = 250, h: int = 21, paths: int = 10_000, seed: int = 0, most: int = 8000) -> DataFrame:
-    """Every date x model x distribution on the returns up to the date. A fit that doesn't converge takes the last converged parameters of its
-    model before it, filtered on the data of its own date; without one it gives no forecast.
+#: Into how many pieces the tasks of a symbol are dealt; each piece gets the symbol's history once.
+PIECES = 512
+
+
+def _beside_history(tasks: DataFrame, rets: DataFrame, run, schema: str) -> DataFrame:
+    """`run(tasks, history)` over pieces of each symbol's tasks, with the symbol's history in order of date. The count of partitions is a fixed
+    one, as tasks are long and their rows small: left to itself, the planner would put them into one."""
+    n = 16 * rets.sparkSession.sparkContext.defaultParallelism
+    keys = ["symbol", "piece"]
+    left = tasks.withColumn("piece", F.pmod(F.xxhash64(*[c for c in tasks.columns if c != "params"]), F.lit(PIECES)).cast("int")).repartition(n, *keys)
+    right = rets.select(F.col("symbol").alias("of"), F.col("date").alias("at"), F.col("log_ret").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))).alias("part")).repartition(n, "of", "part")
+
+    def both(t: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        r = r.sort_values("at")
+        return run(t, r["at"].to_numpy(), r["x"].to_numpy(dtype=float))
+
+    return left.groupBy(*keys).cogroup(right.groupBy("of", "part")).applyInPandas(both, schema)
+
+
+def refit(rets: DataFrame, dates: DataFrame, *, models: tuple[str, ...] = MODELS, dists: tuple[str, ...] = DISTS, least: int = 1000, h: int = 21, paths: int = 10_000, seed: int = 0, most: int = 8000) -> DataFrame:
+    """Every date x model x distribution on the returns up to the date, where there are at least `least`. A fit that doesn't converge takes the
+    last converged parameters of its model before it, filtered on the data of its own date; without one it gives no forecast.
 
     The first pass fits in parallel; the carry is a window over (model, dist); the second pass only filters.
     """
     r = rets.where(F.col("log_ret").isNotNull()).select("symbol", "date", "log_ret")
-    w = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    hist = r.select("symbol", "date", F.collect_list("log_ret").over(w).alias("h")).join(dates, "date").where(F.size("h") >= least)
     grid = [F.struct(F.lit(m).alias("model"), F.lit(d).alias("dist")) for m in models for d in dists]
-    tasks = hist.withColumn("t", F.explode(F.array(*grid))).select("symbol", "date", "seq", "t.model", "t.dist", "h")
-    # a count of its own, as fits are long and their rows small: left to itself, the planner would put them into one task
-    tasks = tasks.repartition(4 * rets.sparkSession.sparkContext.defaultParallelism, "symbol", "date", "model", "dist")
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b.itertuples():
-                f = fit(t.model, t.dist, np.asarray(t.h, dtype=float), most)
-                rows.append((t.symbol, t.date, t.seq, t.model, t.dist, f["converged"], f["loglik"], f["params"] if f["converged"] else None))
-            yield pd.DataFrame(rows, columns=["symbol", "date", "seq", "model", "dist", "converged", "loglik", "params"])
-
-    fitted = tasks.mapInPandas(first, "symbol string, date date, seq int, model string, dist string, converged boolean, loglik double, params map<string,double>")
+    tasks = r.select("symbol", "date").join(dates.select("date", "seq"), "date").withColumn("t", F.explode(F.array(*grid))).select("symbol", "date", F.col("seq").cast("int").alias("seq"), "t.model", "t.dist")
+
+    def first(t: pd.DataFrame, at: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        rows = []
+        for k in t.itertuples():
+            n = int(np.searchsorted(at, k.date, side="right"))
+            if n >= least:
+                f = fit(k.model, k.dist, x[:n], most)
+                rows.append((k.symbol, k.date, k.seq, k.model, k.dist, f["converged"], f["loglik"], f["params"] if f["converged"] else None))
+        return pd.DataFrame(rows, columns=["symbol", "date", "seq", "model", "dist", "converged", "loglik", "params"])
+
+    fitted = _beside_history(tasks, r, first, "symbol string, date date, seq int, model string, dist string, converged boolean, loglik double, params map<string,double>")
     past = Window.partitionBy("symbol", "model", "dist").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     carried = fitted.withColumn("params", F.last("params", ignorenulls=True).over(past)).withColumn("carried", ~F.col("converged") & F.col("params").isNotNull())
-    todo = carried.join(hist.select("symbol", "date", "h"), ["symbol", "date"])
 
-    def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b.itertuples():
-                p = dict(t.params) if t.params is not None else None
-                s = state(t.model, p, np.asarray(t.h, dtype=float)) if p else {"sig2bar": None, "sigma2_next": None, "persistence": None}
-                v = None
-                if p:
-                    v = float(egarch_path(p, s["sigma2_next"], h, paths, np.random.default_rng([seed, t.seq])).mean()) if t.model == "egarch" else closed_form(s["sig2bar"], s["sigma2_next"], s["persistence"], h)
-                sb = s["sig2bar"]
-                rows.append((t.symbol, t.date, t.seq, t.model, t.dist, t.converged, t.carried, len(t.h), t.loglik, s["persistence"], None if sb is None or sb != sb else sb, s["sigma2_next"], v, p))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.replace("map<string,double>", "map").split(", ")])
+    def second(t: pd.DataFrame, at: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        rows = []
+        for k in t.itertuples():
+            n = int(np.searchsorted(at, k.date, side="right"))
+            p = dict(k.params) if k.params is not None else None
+            s = state(k.model, p, x[:n]) if p else {"sig2bar": None, "sigma2_next": None, "persistence": None}
+            v = None
+            if p:
+                v = float(egarch_path(p, s["sigma2_next"], h, paths, np.random.default_rng([seed, k.seq])).mean()) if k.model == "egarch" else closed_form(s["sig2bar"], s["sigma2_next"], s["persistence"], h)
+            sb = s["sig2bar"]
+            rows.append((k.symbol, k.date, k.seq, k.model, k.dist, k.converged, k.carried, n, k.loglik, s["persistence"], None if sb is None or sb != sb else sb, s["sigma2_next"], v, p))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in FIELDS.replace("map<string,double>", "map").split(", ")])
 
-    return todo.select("symbol", "date", "seq", "model", "dist", "converged", "carried", "loglik", "params", "h").mapInPandas(second, FIELDS)
+    return _beside_history(carried.select("symbol", "date", "seq", "model", "dist", "converged", "carried", "loglik", "params"), r, second, FIELDS)
 
 
 def egarch_daily(refits: DataFrame, rets: DataFrame, *, h: int = 21, paths: int = 10_000, seed: int = 0) -> DataFrame:
-    """EGARCH forecasts for every day with the parameters of the last refit before or on it: one task for each refit filters the returns once,
-    centred by the mean known at the refit, and simulates from each day's state, for each distribution. (symbol, date, refit, dist, v)"""
-    w = Window.partitionBy("symbol").orderBy("date")
+    """EGARCH forecasts for every day with the parameters of the last refit before or on it: each refit filters the returns once, centred by
+    the mean known at the refit, and simulates from each day's state, for each distribution. (symbol, date, refit, dist, v)"""
     p = refits.where((F.col("model") == "egarch") & F.col("params").isNotNull()).select("symbol", "dist", F.col("date").alias("refit"), "seq", "params")
     p = p.withColumn("upto", F.lead("refit").over(Window.partitionBy("symbol", "dist").orderBy("refit")))
     r = rets.where(F.col("log_ret").isNotNull()).select("symbol", "date", "log_ret")
-    last = r.join(p, "symbol").where((F.col("date") >= F.col("refit")) & (F.col("upto").isNull() | (F.col("date") < F.col("upto")))).groupBy("symbol", "dist", "refit").agg(F.max("date").alias("date"), F.collect_set("date").alias("days"))
-    hist = r.select("symbol", "date", F.collect_list(F.struct("date", "log_ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("h"))
-    tasks = last.join(hist, ["symbol", "date"]).join(p, ["symbol", "dist", "refit"]).select("symbol", "dist", "refit", "seq", "params", F.array_sort("days").alias("days"), F.transform("h", lambda x: x["date"]).alias("at"), F.transform("h", lambda x: x["log_ret"]).alias("x"))
-    tasks = tasks.repartition(4 * rets.sparkSession.sparkContext.defaultParallelism, "symbol", "dist", "refit")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b.itertuples():
-                x, at, params = np.asarray(t.x, dtype=float), list(t.at), dict(t.params)
-                known = x[: sum(d <= t.refit for d in at)]
-                path = variance_path("egarch", params, (x - known.mean()) * 100, len(known))
-                place = {d: i for i, d in enumerate(at)}
-                rng = np.random.default_rng([seed, int(t.seq)])
-                rows += [(t.symbol, d, t.refit, t.dist, float(egarch_path(params, path[place[d] + 1] / 1e4, h, paths, rng).mean())) for d in t.days]
-            yield pd.DataFrame(rows, columns=["symbol", "date", "refit", "dist", "v"])
-
-    return tasks.mapInPandas(run, "symbol string, date date, refit date, dist string, v double")
+
+    def run(t: pd.DataFrame, at: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+        rows = []
+        for k in t.itertuples():
+            known = int(np.searchsorted(at, k.refit, side="right"))
+            start = int(np.searchsorted(at, k.refit, side="left"))
+            end = len(at) if k.upto is None or k.upto != k.upto else int(np.searchsorted(at, k.upto, side="left"))
+            if end <= start:
+                continue
+            params = dict(k.params)
+            path = variance_path("egarch", params, (x[:end] - x[:known].mean()) * 100, known)
+            rng = np.random.default_rng([seed, int(k.seq)])
+            rows += [(k.symbol, at[i], k.refit, k.dist, float(egarch_path(params, path[i + 1] / 1e4, h, paths, rng).mean())) for i in range(start, end)]
+        return pd.DataFrame(rows, columns=["symbol", "date", "refit", "dist", "v"])
+
+    return _beside_history(p, r, run, "symbol string, date date, refit date, dist string, v double")

@@ -72,14 +72,14 @@ def _solve_har(s: pd.DataFrame) -> pd.DataFrame:
     b = np.stack([v[c] for c in ("sy", "s1y", "s2y", "s3y")], axis=-1)
     out = np.full((len(s), 5), np.nan)
     good = np.isfinite(a).all(axis=(1, 2)) & (v["n"] > 4)
-    for i in np.flatnonzero(good):
-        beta, *_ = np.linalg.lstsq(a[i], b[i], rcond=None)
-        rss = v["syy"][i] - beta @ b[i]
-        out[i] = [*beta, max(rss, 0.0) / (v["n"][i] - 4)]
+    ag, bg = a[good], b[good]
+    beta = np.einsum("nij,nj->ni", np.linalg.pinv(ag, rcond=4 * np.finfo(float).eps, hermitian=True), bg)
+    rss = v["syy"][good] - np.einsum("ni,ni->n", beta, bg)
+    out[good] = np.column_stack([beta, np.maximum(rss, 0.0) / (v["n"][good] - 4)])
     return pd.DataFrame(out, columns=["b0", "b1", "b2", "b3", "s2"])
 
 
-def har_forecast(m: DataFrame, h: int = 21, least: int = 250) -> DataFrame:
+def har_forecast(m: DataFrame, h: int = 21, least: int = 1000) -> DataFrame:
     """Direct-h HAR forecast with lognormal retransformation, its coefficients, residual variance, pairs used and retransformation share."""
     s = har_normal_equations(m, h).where((F.col("n") >= least) & F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("x3").isNotNull())
     s = s.withColumn("f", _solve_har(F.struct(*HAR_SUMS)))
@@ -176,7 +176,7 @@ def running_mean_term_structure(points: DataFrame, keys: list[str]) -> DataFrame
 
 
 
-def har_daily(m: DataFrame, dates: DataFrame, h: int = 21, least: int = 250) -> DataFrame:
+def har_daily(m: DataFrame, dates: DataFrame, h: int = 21, least: int = 1000) -> DataFrame:
     """Daily forecasts with coefficients frozen at the last refit date before or on the day, and features of the day."""
     f = har_forecast(m, h, least).join(dates.select("date"), "date", "left_semi").select("symbol", F.col("date").alias("refit"), "b0", "b1", "b2", "b3", "sigma2_resid")
     x = har_pairs(m, h).select("symbol", "date", "x1", "x2", "x3").where(F.col("x1").isNotNull() & F.col("x2").isNotNull() & F.col("x3").isNotNull())

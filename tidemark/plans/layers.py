@@ -13,7 +13,6 @@ from tidemark.operators import backtest as B
 from tidemark.operators import evaluation as E
 from tidemark.operators import fits, forecasts, intraday
 from tidemark.operators import measures as M
-from tidemark.operators.evaluation_targets import forward_mean
 from tidemark.plans import volatility as V
 from tidemark.plans.volatility import RULES, C, add, hac_sql
 from tidemark.session import cut
@@ -111,11 +110,7 @@ def _daily(s: SparkSession, d: str) -> DataFrame:
     return x.unpivot(["date"], DAILY, "model", "v")
 
 
-def _daily_target(s: SparkSession, d: str) -> DataFrame:
-    return forward_mean(V._traded(V._meas(s, d)), "rv_daily", 21, "rv").select("date", "rv")
-
-
-add("daily_loss_table", "model n:i mean:8 hac_var:12 lag:i", "dqh", lambda s, d: E.hac_mean(E.losses(E.complete_cases(_daily(s, d), _daily_target(s, d))), ["model"], "qlike"))
+add("daily_loss_table", "model n:i mean:8 hac_var:12 lag:i", "dqh", lambda s, d: E.hac_mean(E.losses(E.complete_cases(_daily(s, d), V._target(s, d))), ["model"], "qlike"))
 add("flat_term_structures", "model date:d h:i v:10", "(SELECT model, date, h, v FROM fc, (SELECT unnest(generate_series(1, 63)) AS h) WHERE model IN ('rv21', 'ewma'))",
     lambda s, d: V._forecasts(s, d).where(F.col("model").isin("rv21", "ewma")).withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(63)))))
 add("secondary_frame", "date:d model v:8 rv:10", None, lambda s, d: _secondary(s, d))
@@ -125,10 +120,10 @@ add("secondary_loss_table", "model n:i mean:8 hac_var:12 lag:i", None, lambda s,
 def _secondary(s: SparkSession, d: str) -> DataFrame:
     """The daily frame with the frozen-parameter forecasts and the simulated ones joined in by day."""
     r = V._traded(M.returns(V._bars(s, d)))
-    eg = fits.egarch_daily(cut(fits.refit(r, V._reb(s, d), models=("egarch",), dists=("normal",))), r).select("date", F.col("v").alias("egarch"))
-    har = forecasts.har_daily(V._traded(V._meas(s, d)), V._reb(s, d)).select("date", F.col("v").alias("har"))
+    eg = fits.egarch_daily(cut(fits.refit(r, V._reb(s, d), models=("egarch",), dists=("normal",), least=V.LEAST)), r).select("date", F.col("v").alias("egarch"))
+    har = forecasts.har_daily(V._traded(V._meas(s, d)), V._reb(s, d), least=V.LEAST).select("date", F.col("v").alias("har"))
     wide = _daily(s, d).groupBy("date").pivot("model", DAILY).agg(F.max("v")).join(har, "date", "left").join(eg, "date", "left")
-    return cut(E.complete_cases(wide.dropna(subset=["har", "egarch"]).unpivot(["date"], [*DAILY, "har", "egarch"], "model", "v"), _daily_target(s, d)))
+    return cut(E.complete_cases(wide.dropna(subset=["har", "egarch"]).unpivot(["date"], [*DAILY, "har", "egarch"], "model", "v"), V._target(s, d)))
 
 
 def _rough_structure(s: SparkSession, d: str) -> DataFrame:
@@ -147,7 +142,7 @@ def _har_structure(s: SparkSession, d: str) -> DataFrame:
     m = cut(V._traded(V._meas(s, d)))
     out = None
     for h in (1, 5, 10, 21, 42, 63):
-        x = forecasts.har_forecast(m, h).join(V._reb(s, d).select("date"), "date", "left_semi").select("date", F.lit(h).alias("h"), "v", "n_train")
+        x = forecasts.har_forecast(m, h, V.LEAST).join(V._reb(s, d).select("date"), "date", "left_semi").select("date", F.lit(h).alias("h"), "v", "n_train")
         out = x if out is None else out.unionByName(x)
     return out
 

@@ -22,6 +22,7 @@ from tidemark.sources import files, market
 from tidemark.sources.tables import table
 
 RULES = B.Rules()
+#: Rows a forecast needs; the operators' own gate is 1,000, but the derived series have some 1,260 days in all.
 LEAST = 250
 WIDTHS = [1, 2, 3, 5, 10, 15, 20, 30]
 SPANS = [("1996-1997", "1996-01-01", "1997-12-31"), ("1998", "1998-01-01", "1998-12-31"), ("1999-2001", "1999-01-01", "2001-12-31")]
@@ -231,10 +232,13 @@ def _bt(s: SparkSession, d: str) -> DataFrame:
     return cut(B.backtest(w, rets, market.rates(s, d), RULES))
 
 
+def _target(s: SparkSession, d: str) -> DataFrame:
+    return forward_mean(_traded(_meas(s, d)), "rv_daily", 21, "rv").select("date", "rv")
+
+
 @once
 def _frame(s: SparkSession, d: str) -> DataFrame:
-    t = forward_mean(_traded(_meas(s, d)), "rv_daily", 21, "rv").select("date", "rv")
-    return E.complete_cases(_forecasts(s, d), t)
+    return E.complete_cases(_forecasts(s, d), _target(s, d))
 
 
 @once
@@ -352,7 +356,7 @@ add("ewma_variance", "symbol date:d ewma:10", "ewma", lambda s, d: forecasts.ewm
 add("har_normal_equations", "symbol date:d n:i s1:4 s2:4 s3:4 s11:2 s12:2 s13:2 s22:2 s23:2 s33:2 sy:4 s1y:2 s2y:2 s3y:2 syy:2",
     "(SELECT symbol, date, " + ", ".join(f"sum(CASE WHEN p1 IS NOT NULL AND p2 IS NOT NULL AND p3 IS NOT NULL AND y IS NOT NULL THEN CAST({e} AS DOUBLE) END) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {n}" for n, e in forecasts.HAR_SUMS.items()) + " FROM harp)",
     lambda s, d: forecasts.har_normal_equations(_meas(s, d)))
-add("har_forecast", "symbol date:d v:10 b0:4 b1:4 b2:4 b3:4 sigma2_resid:6 n_train:i", None, lambda s, d: forecasts.har_forecast(_meas(s, d)))
+add("har_forecast", "symbol date:d v:10 b0:4 b1:4 b2:4 b3:4 sigma2_resid:6 n_train:i", None, lambda s, d: forecasts.har_forecast(_meas(s, d), least=LEAST))
 add("hurst_path", "symbol date:d h:6 h_se:6 nu2:6", "hurstq", lambda s, d: forecasts.hurst(forecasts.variogram(_meas(s, d))))
 def _rough(s: SparkSession, d: str) -> DataFrame:
     m = _traded(_meas(s, d))
@@ -372,7 +376,7 @@ def _closed(s: SparkSession, d: str) -> DataFrame:
 add("term_structure", "param_id:i h:i v:10", "(SELECT param_id, h, sig2bar + CASE WHEN abs(persistence - 1) < 1e-12 THEN 1 ELSE (1 - pow(persistence, h)) / (h * (1 - persistence)) END * (sigma2_next - sig2bar) AS v FROM param_paths, (SELECT unnest([1, 5, 21]) AS h) WHERE sig2bar IS NOT NULL AND NOT isnan(sig2bar) AND persistence IS NOT NULL AND NOT isnan(persistence) AND sigma2_next IS NOT NULL)", _closed)
 add("term_structure_full", "param_id:i h:i v:10", "(SELECT param_id, h, sig2bar + CASE WHEN abs(persistence - 1) < 1e-12 THEN 1 ELSE (1 - pow(persistence, h)) / (h * (1 - persistence)) END * (sigma2_next - sig2bar) AS v FROM param_paths, (SELECT unnest(generate_series(1, 63)) AS h) WHERE sig2bar IS NOT NULL AND NOT isnan(sig2bar) AND persistence IS NOT NULL AND NOT isnan(persistence) AND sigma2_next IS NOT NULL)", _closed_full)
 def _fits(s: SparkSession, d: str) -> DataFrame:
-    return fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d))
+    return fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d), least=LEAST)
 add("model_refits", "date:d model dist converged carried n:i persistence:4 sig2bar:8 sigma2_next:8 v21:8", None, _fits)
 add("parameter_json", "param_id:i a:8 b:8", "(SELECT param_id, TRY_CAST(json_extract_string(params_json, '$.alpha') AS DOUBLE) AS a, TRY_CAST(json_extract_string(params_json, '$.beta') AS DOUBLE) AS b FROM param_paths)",
     lambda s, d: table(s, d, "param_paths").withColumn("m", F.from_json("params_json", "map<string,double>")).select("param_id", F.col("m")["alpha"].alias("a"), F.col("m")["beta"].alias("b")))
@@ -449,7 +453,7 @@ add("governing_groups", "governing:d origins:i", "(SELECT p.date AS governing, c
     lambda s, d: _governing(s, d).groupBy("governing").agg(F.count(F.lit(1)).alias("origins")))
 add("vol_ratio", "model ratio:8", "(SELECT model, avg(sqrt(v)) / avg(sqrt(rv)) AS ratio FROM frame GROUP BY model)", lambda s, d: _frame(s, d).groupBy("model").agg((F.avg(F.sqrt("v")) / F.avg(F.sqrt("rv"))).alias("ratio")))
 add("open_close_correlation", "symbol r:8", "(SELECT symbol, corr(on_ret, oc_ret) AS r FROM meas0 GROUP BY symbol)", lambda s, d: _meas(s, d).groupBy("symbol").agg(F.corr("on_ret", "oc_ret").alias("r")))
-add("har_daily", "date:d refit:d v:10", None, lambda s, d: forecasts.har_daily(_traded(_meas(s, d)), _reb(s, d)))
+add("har_daily", "date:d refit:d v:10", None, lambda s, d: forecasts.har_daily(_traded(_meas(s, d)), _reb(s, d), least=LEAST))
 def _grid_spread(s: SparkSession, d: str) -> DataFrame:
     v = _rough(s, d).where(F.col("h").isin(0.02, 0.05, 0.10, 0.15))
     v = v.withColumn("sigma", F.sqrt(252 * F.col("v"))).withColumn("w_raw", RULES.target / F.col("sigma")).withColumn("w", B.sizing_weight(F.col("v"), RULES))
@@ -460,7 +464,7 @@ add("hurst_grid_spread", "stage mean_spread:6 p95_spread:6", None, _grid_spread)
 add("adherence_pairwise", "i j p_closer:4", None, lambda s, d: E.adherence_pairwise(_bt(s, d), RULES.target))
 add("interval_widths", "strategy d42:6 d105:6 d210:6", None, lambda s, d: E.adherence_bootstrap(_bt(s, d), RULES.target, [42, 105, 210]).groupBy("strategy").pivot("block_days", [42, 105, 210]).agg(F.max(F.col("ci90_hi") - F.col("ci90_lo"))).select("strategy", F.col("42").alias("d42"), F.col("105").alias("d105"), F.col("210").alias("d210")))
 add("parquet_footers", "file row_group:i rows:i lo hi", None, lambda s, d: files.footers(s, f"{d}/qqq_1m.parquet", "ticker"))
-add("egarch_daily", "date:d refit:d dist v:8", None, lambda s, d: fits.egarch_daily(cut(fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d), models=("egarch",))), _traded(M.returns(_bars(s, d)))))
+add("egarch_daily", "date:d refit:d dist v:8", None, lambda s, d: fits.egarch_daily(cut(fits.refit(_traded(M.returns(_bars(s, d))), _reb(s, d), models=("egarch",), least=LEAST)), _traded(M.returns(_bars(s, d)))))
 
 # ---------------------------------------------------------------- all models in evaluation and portfolio (rows only: SQL can't follow the fits)
 PRIMARY = ["garch_skewt", "egarch_skewt", "gjr_skewt", "ewma", "rv", "har", "rfsv", "trailing_rv21"]
@@ -474,7 +478,7 @@ def _models(s: SparkSession, d: str) -> DataFrame:
     fit = _fits(s, d).select("date", F.concat_ws("_", "model", "dist").alias("model"), F.col("v21").alias("v"))
     closed = _forecasts(s, d).where(F.col("model").isin("ewma", "rv21")).select("date", F.when(F.col("model") == "rv21", "rv").otherwise(F.col("model")).alias("model"), "v")
     trailing = m.select("date", F.lit("trailing_rv21").alias("model"), F.col("yz").alias("v")).join(reb, "date", "left_semi")
-    har = forecasts.har_forecast(m).select("date", F.lit("har").alias("model"), "v").join(reb, "date", "left_semi")
+    har = forecasts.har_forecast(m, least=LEAST).select("date", F.lit("har").alias("model"), "v").join(reb, "date", "left_semi")
     vg = forecasts.variogram(m)
     own = forecasts.rough_forecast(m, forecasts.hurst(vg).select("symbol", "date", "h", "nu2").join(reb, "date", "left_semi")).select("date", F.lit("rfsv").alias("model"), "v")
     fixed = [forecasts.nu2_given_h(vg, h).withColumn("h", F.lit(h)).join(reb, "date", "left_semi") for h in (0.02, 0.05, 0.10, 0.15)]
@@ -485,7 +489,7 @@ def _models(s: SparkSession, d: str) -> DataFrame:
 
 @once
 def _model_frame(s: SparkSession, d: str) -> DataFrame:
-    t = forward_mean(_traded(_meas(s, d)), "rv_daily", 21, "rv").select("date", "rv").where(F.col("date") >= F.lit(RULES.eval_start).cast("date"))
+    t = _target(s, d).where(F.col("date") >= F.lit(RULES.eval_start).cast("date"))
     return E.complete_cases(_models(s, d), t)
 
 
