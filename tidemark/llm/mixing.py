@@ -6,8 +6,9 @@ document, on average; systematic sampling adds up the copies along the source's
 document once per whole number crossed. As c <= max_repeats, no document exceeds it, and the copies of any stretch of documents are
 within one of their expectation.
 
-The running sums are formed in blocks of documents (by a hash of their id), so a hot source spreads over tasks: block totals are
-summed over the blocks, and within a block only its own rows are sorted.
+Documents are taken in order of size class (a quarter of a doubling), so that every class is sampled in proportion and the tokens drawn
+scatter little. The running sums are formed in blocks of about `block_rows` documents of a size class (by a hash of their id), so a hot source
+spreads over tasks: block totals are summed over the blocks, and within a block only its own rows are sorted.
 
 Defined cases: documents of null or unlisted sources, of sources with share 0 (or null or NaN) or max_repeats below 1, and documents
 without tokens (null and empty texts) aren't used; listed sources without usable tokens contribute nothing and the other shares
@@ -43,16 +44,18 @@ def plan(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return p.withColumn("copies", F.when(F.col("usable"), F.least(F.col("mix_tokens") * F.col("reachable_share") / F.when(F.col("tokens") > 0, F.col("tokens")), F.col("max_repeats").cast("double"))).otherwise(0.0))
 
 
-def draw(sized: DataFrame, planned: DataFrame, *, seed: int = 7, blocks: int = 1024) -> DataFrame:
+def draw(sized: DataFrame, planned: DataFrame, *, seed: int = 7, block_rows: int = 16_384) -> DataFrame:
     """(key, source, n_tokens, repeats) of the documents used."""
     # one offset in [0, 1) per source, the same however the rows are spread
     offset = F.pmod(F.xxhash64(F.lit(seed), F.col("source")), F.lit(1 << 30)) / float(1 << 30)
-    use = planned.where("usable").select("source", "copies", offset.alias("u"))
-    d = sized.where(F.col("n_tokens") > 0).join(use, "source").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(blocks)).cast("int"))
+    use = planned.where("usable").select("source", "copies", offset.alias("u"), F.ceil(F.col("documents") / block_rows).alias("parts"))
+    d = sized.where(F.col("n_tokens") > 0).join(use, "source")
+    block = F.floor(4 * F.log2("n_tokens")) * F.col("parts") + F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.col("parts"))
+    d = d.withColumn("block", block).drop("parts")
     per = d.groupBy("source", "block").agg(F.sum("copies").alias("in_block"), F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("source").orderBy("block")
     start = per.select(F.col("source").alias("s"), F.col("block").alias("b"), (F.sum("n").over(upto) - F.col("n")).alias("before"))
-    w = Window.partitionBy("source", "block").orderBy("key", "n_tokens")
+    w = Window.partitionBy("source", "block").orderBy("n_tokens", "key")
     d = d.withColumn("i", F.row_number().over(w)).join(start, (F.col("source") == F.col("s")) & (F.col("block") == F.col("b")))
     # all documents of a source expect the same copies, so the running sum is rank times copies, without rounding that adds up
     last = (F.col("before") + F.col("i")) * F.col("copies") + F.col("u")
