@@ -227,8 +227,9 @@ def _run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield r[r["own"]].drop(columns="own")
 
 
-def implausible_bars(df: DataFrame, keys: tuple[str, str] = ("feed", "ticker"), bar: str = "bar_id", ts: str = "timestamp", arrival: str = "ingested_at", *, require: tuple[str, ...] = ("ticker",), chunk: int = 512, halo: int = 64) -> DataFrame:
-    """Every bar: `bar`, `out_of_range`, and the probabilities `price_spike`, `price_stuck`, `volume_spike`, `volume_stuck`, with `flagged`."""
+def implausible_bars(df: DataFrame, keys: tuple[str, str] = ("feed", "ticker"), bar: str = "bar_id", ts: str = "timestamp", arrival: str = "ingested_at", *, require: tuple[str, ...] = ("ticker",), chunk: int = 512, halo: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Three parts: the probabilities `price_spike`, `price_stuck`, `volume_spike`, `volume_stuck` of the bars the model has something to say about,
+    every bar with its hard bounds `out_price` and `out_volume`, and the names of the probabilities."""
     base = df.select(
         F.col(bar).alias("bar"), *[F.coalesce(F.col(k).cast("string"), F.lit(NO_KEY)).alias(f"k{i}") for i, k in enumerate(keys)], F.unix_micros(ts).alias("t"), F.unix_micros(arrival).alias("ing"),
         *[F.col(c).cast("double").alias(c) for c in FIELDS],
