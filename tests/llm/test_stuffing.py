@@ -95,6 +95,16 @@ def test_flags(spark):
     assert {r["doc_id"]: r["flagged"] for r in got} == want
 
 
+def test_stuffed_sentences_of_one_length_set_no_range(spark):
+    def stuffed(i):
+        r = random.Random(i)
+        return " ".join(f"{r.choice(('Best', 'Cheap', 'New'))} travel {r.choice(('mug', 'bag'))} and {r.choice(WORDS)}, {r.choice(WORDS)}{r.choice('.!?')}" for _ in range(25))
+
+    rows = [(i, plain(PROSE * (1 + i % 4))) for i in range(300)] + [(1000 + i, plain(stuffed(i))) for i in range(40)]
+    got = page_scores(spark.createDataFrame(rows, "doc_id long, text string")).where("flagged").select("doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(1000, 1040))
+
+
 def test_empty(spark):
     assert page_scores(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
